@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     def compared(rows: DataFrame) -> DataFrame:
         """rows: key, rep, h1, known."""
-        held = docs.join(rows, docs.doc_id == rows.rep).select("key", "rep", "h1", "known", "text")
+        held = docs.join(rows.hint("merge"), docs.doc_id == rows.rep).select("key", "rep", "h1", "known", "text")
         return stored(held.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(check, "a bigint, b bigint"), "links")
 
     links = compared(members.select(F.xxhash64("component", "chunk").alias("key"), "rep", "h1", F.col("rep").alias("known")))
@@ -246,3 +246,10 @@ def _across(links: DataFrame, wide: DataFrame, compared) -> DataFrame:
     other = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda x: x != F.col("chunk"))).alias("other")
     pairs = rest.select("component", "rep", "h1", "known", "chunk", other).select(F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "rep", "h1", "known")
     return links.union(compared(pairs))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their group of near-duplicates, with all of their columns; of rows with one doc_id one stays."""
+    kept = stored(near_duplicates(docs, width, percent).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
+    out = docs.join(kept, docs["doc_id"].cast("bigint") == F.col("_kept"), "left_semi")
+    return out if kept.filter("_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])

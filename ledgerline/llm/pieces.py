@@ -218,36 +218,29 @@ def loaded(model: str) -> Pieces:
     return _loaded[model]
 
 
-def encode_batches(model: str):
+def encode_batches(model: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(model)
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column("text"):
-                ids = own.encode(text.as_py())
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(own.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for k in range(0, len(batch), 500):
+                part, n, a, b, every = batch.slice(k, 500), [], [], [], []
+                for text in part.column("text").to_pylist():
+                    ids = own.encode(text)
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    b.append(hashlib.sha256(own.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+                    if with_ids:
+                        every.append(ids.astype(np.int32))
+                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array(every, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return run
 
 
-def piece_ids(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids array<int>): begin and end ids included. Null texts count as empty; rows without doc_id are dropped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(model)
-        for batch in batches:
-            ids = [own.encode(t.as_py()).astype(np.int32) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return texts_of(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
-
-
-def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """Per document its number of ids (begin and end included), their digest, and the digest of the text decoded from them.
+def piece_digests(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
+    """Per document its number of ids (begin and end included), their digest, the digest of the text decoded from them, and the ids if asked for.
 
     A null or empty text has the begin and end ids alone and decodes to the empty string. Rows without doc_id are dropped, repeated
     rows stay, extra columns are ignored, and an empty table gives no rows."""
-    return texts_of(docs).mapInArrow(encode_batches(model), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return texts_of(docs).mapInArrow(encode_batches(model, with_ids), kind)

@@ -207,3 +207,18 @@ def redacted(text: str) -> str:
             out += [text[at:s], f"[{KINDS[k]}]"]
         at = max(at, e)
     return "".join(out) + text[at:] if out else text
+
+
+def redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [None if t is None else redacted(t) for t in batch.column("text").to_pylist()]
+        cols = {n: batch.column(n) for n in batch.schema.names}
+        cols["text"] = pa.array(texts, batch.schema.field("text").type)
+        if "n_chars" in cols:
+            cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """Docs with every finding in text replaced by its kind in brackets and n_chars counted anew; null texts stay null."""
+    return docs.mapInArrow(redact_batches, docs.schema)
