@@ -7,9 +7,10 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))

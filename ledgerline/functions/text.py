@@ -116,5 +116,5 @@ def shape(text: Column, episode: Column) -> Column:
 
 
 def slug(c: Column, fallback: str = "section") -> Column:
-    s = F.trim(F.lit("-"), F.regexp_replace(F.lower(collapse(c)), "[^a-z0-9]+", "-"))
+    s = F.trim(F.regexp_replace(F.lower(collapse(c)), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(s == "", fallback).otherwise(s)

@@ -39,8 +39,6 @@ def search(claims: DataFrame, lineage: DataFrame, episodes: DataFrame, pattern:
     return hits.select("claim_key", "text", "status", "authority_tier", "cutoff", "cutoff_days", "stale", F.array_join("episodes", ",").alias("episodes"))
 
 
-ORDER = (F.col, "stale", "authority_tier", "cutoff_days", "claim_key")
-
 
 def rank_order() -> list:
     return [F.col("stale"), F.col("authority_tier"), F.desc_nulls_last("cutoff_days"), F.col("claim_key")]
@@ -49,7 +47,7 @@ def rank_order() -> list:
 def ranked(hits: DataFrame, most: int | None = None) -> DataFrame:
     """Hits in rank order with their rank; the window stands over what a budget has bounded."""
     h = hits if most is None else hits.orderBy(*rank_order()).limit(most)
-    return h.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())))
+    return h.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())).cast("bigint"))
 
 
 def truncated(claims: DataFrame, budget: int) -> DataFrame:
