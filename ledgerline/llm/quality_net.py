@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import column, slices, text_buffers, texts_of
 
-#: Bytes of half a chunk; size of a byte's vector; filters; passes over the sample; documents of a training step.
-STEP, VECTOR, FILTERS, PASSES, GROUP = 24, 6, 32, 14, 32
+#: Bytes of half a chunk; size of a byte's vector; filters; passes over the sample, and training steps at least; documents of a step; what a rejected
+#: document weighs against a good one, as there are fewer of them.
+STEP, VECTOR, FILTERS, PASSES, LEAST_STEPS, GROUP, WEIGHT = 24, 6, 32, 14, 1200, 32, 15.0
 #: The bound of the labelled sample that the driver trains on: its rows, and the bytes of a text that may be in it.
 SAMPLE_ROWS, SAMPLE_TEXT = 5000, 32_768
 #: Scores of at least this are predicted 1.
@@ -71,14 +72,17 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         order, t = np.arange(len(texts)), 0
-        total = PASSES * -(-len(texts) // GROUP)
-        for _ in range(PASSES):
+        each = -(-len(texts) // GROUP)
+        passes = max(PASSES, -(-LEAST_STEPS // each))
+        total = passes * each
+        for _ in range(passes):
             rng.shuffle(order)
             for k in range(0, len(order), GROUP):
                 own = order[k : k + GROUP]
                 t += 1
                 rate = 0.006 * (1 - t / (total + 1)) + 1e-4
-                for name, g in self.gradient([texts[i] for i in own], labels[own]).items():
+                shift = rng.integers(STEP, size=len(own))  # filters must not depend on where a step starts
+                for name, g in self.gradient([texts[i][s:] for i, s in zip(own, shift, strict=True)], labels[own]).items():
                     m[name] += 0.1 * (g - m[name])
                     v[name] += 0.001 * (g * g - v[name])
                     self.w[name] -= (rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -90,7 +94,7 @@ class Network:
         live = top + w["shift"]
         act = np.maximum(live, 0)
         p = 1 / (1 + np.exp(-np.clip(act @ w["out"] + w["bias"], -60, 60)))
-        d = ((p - labels) / len(labels)).astype(np.float32)
+        d = ((p - labels) * np.where(labels == 0, WEIGHT, 1) / len(labels)).astype(np.float32)
         back = d[:, None] * w["out"][None, :] * (live > 0)
         won = np.stack([first[i] + np.argmax(chunk[first[i] : first[i + 1]], axis=0) for i in range(len(texts))])
         here, after = x[won], x[won + 1]  # documents x filters x (STEP * VECTOR)
