@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,24 +14,28 @@ from ..functions.text import collapse, content_form, hedges
 JUDGED = "candidate bigint, episode_id string, reason string, golden bigint"
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One content form of one episode: golden rows (kind g) are taken in order by candidates that keep their hedges."""
-    gold = pdf[pdf.kind == "g"].sort_values("pos")
-    cand = pdf[pdf.kind == "c"].sort_values("pos")
-    free = list(zip(gold.pos, gold.hedges, strict=True))
-    out = []
-    for r in cand.itertuples():
-        if not free:
-            out.append((r.pos, r.episode_id, "spurious", None))
-        elif not r.contained:
-            out.append((r.pos, r.episode_id, "content-miss", None))
-        elif set(free[0][1]) <= set(r.hedges):
-            out.append((r.pos, r.episode_id, "matched", free.pop(0)[0]))
-        else:
-            out.append((r.pos, r.episode_id, "hedge-dropped", None))
-    df = pd.DataFrame(out, columns=["candidate", "episode_id", "reason", "golden"])
-    df["golden"] = df.golden.astype("Int64")
-    return df
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (episode, form), golden ones first, each side by position: golden claims are taken in order by candidates that keep their hedges.
+
+    Only the open golden claims of one form are held at a time."""
+    key, free = None, deque()
+    for batch in batches:
+        out: list[tuple] = []
+        for episode, form, golden, pos, hedges, contained in zip(*(batch.column(c).to_pylist() for c in ("episode_id", "form", "golden", "pos", "hedges", "contained")), strict=True):
+            if (episode, form) != key:
+                key, free = (episode, form), deque()
+            if golden:
+                free.append((pos, set(hedges)))
+            elif not free:
+                out.append((pos, episode, "spurious", None))
+            elif not contained:
+                out.append((pos, episode, "content-miss", None))
+            elif free[0][1] <= set(hedges):
+                out.append((pos, episode, "matched", free.popleft()[0]))
+            else:
+                out.append((pos, episode, "hedge-dropped", None))
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["candidate", "episode_id", "reason", "golden"])
 
 
 def judgments(candidates: DataFrame, golden: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -36,9 +43,10 @@ def judgments(candidates: DataFrame, golden: DataFrame, episodes: DataFrame) ->
 
     A candidate meets the first open golden claim of its content form, so each (episode, form) is settled by itself and no larger group is gathered."""
     known = candidates.join(episodes.select(F.col("id").alias("episode_id"), F.col("text").alias("_episode")), "episode_id", "left")
-    c = known.select("episode_id", content_form(F.col("text")).alias("form"), F.lit("c").alias("kind"), "pos", hedges(F.col("text")).alias("hedges"), F.coalesce(F.contains(collapse(F.col("_episode")), collapse(F.col("span"))), F.lit(False)).alias("contained"), F.col("_episode").isNotNull().alias("known"))
-    g = golden.select("episode_id", content_form(F.col("text")).alias("form"), F.lit("g").alias("kind"), "pos", "hedges", F.lit(True).alias("contained"), F.lit(True).alias("known"))
-    return c.union(g).filter("known").groupBy("episode_id", "form").applyInPandas(_greedy, JUDGED).union(c.filter("NOT known").select("pos", "episode_id", F.lit("spurious"), F.lit(None).cast("bigint")))
+    c = known.select("episode_id", content_form(F.col("text")).alias("form"), F.lit(False).alias("golden"), "pos", hedges(F.col("text")).alias("hedges"), F.coalesce(F.contains(collapse(F.col("_episode")), collapse(F.col("span"))), F.lit(False)).alias("contained"), F.col("_episode").isNotNull().alias("known"))
+    g = golden.select("episode_id", content_form(F.col("text")).alias("form"), F.lit(True).alias("golden"), "pos", "hedges", F.lit(True).alias("contained"), F.lit(True).alias("known"))
+    rows = c.union(g).filter("known").repartition("episode_id", "form").sortWithinPartitions("episode_id", "form", F.desc("golden"), "pos")
+    return rows.mapInArrow(_greedy, JUDGED).union(c.filter("NOT known").select("pos", "episode_id", F.lit("spurious"), F.lit(None).cast("bigint")))
 
 
 def metrics(judged: DataFrame, golden: DataFrame) -> DataFrame:

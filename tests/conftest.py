@@ -14,13 +14,13 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(shared))
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "3g")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
