@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,58 +18,105 @@ from .files import Saved, content
 from .huffman import canonical, code_lengths, read, written
 
 #: Ids of one file at most (a longer document stands alone), words a worker remembers, and the end id.
-FILE_IDS, WORDS, END = 4_000_000, 700_000, 0
-#: Places where a text may be cut so that the parts are coded as they are in the whole: a word without white
-#: space, with the space before it. The vocabulary's pattern never joins what stands on both sides.
-ODD = re.compile(r"\s \S|\S \s| {2}|^ | $|<\|")
-TAIL = re.compile(r"( [^\W\d_]+)([.,;:!?|%&*#$]+)\Z")
+FILE_IDS, WORDS, END = 4_000_000, 900_000, 0
+#: Texts that are coded as a whole: two white spaces side by side or at an end, white space of other kinds, or what may be a special token. All others are cut before
+#: single spaces and around single line ends, where the vocabulary's pattern always cuts too.
+ODD = ("  ", "\n\n", " \n", "\n ", "<|", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+#: A word of letters with marks behind it, which the pattern cuts in two.
+TAIL = re.compile(r"( ?[^\W\d_]+)([.,;:!?|%&*#$]+)\Z")
+#: Words that go to the library in one string.
+TOGETHER = 256
 
 
 class Words:
-    """Ids of a tokenizers file, word by word, remembered."""
+    """Ids of a tokenizers file, word by word, remembered. Keys are words with the space before them."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = np.dtype(self.kind).char
-        self.word: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+        self.code, self.width = np.dtype(self.kind).char, np.dtype(self.kind).itemsize
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.word: dict[str, bytes] = {}  # words behind a space, without it
+        self.atom: dict[str, bytes] = {}  # parts of words as the pattern cuts them
+        self.line = self.packed(self.library.encode("\n", add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Code new words; a word of letters with marks behind it is coded in two parts, which the pattern splits anyway."""
-        known = self.word
-        if len(known) + len(words) > WORDS:
-            known.clear()
-        split = {w: m.groups() for w in words if (m := TAIL.match(w)) and all(unicodedata.category(c)[0] == "L" for c in m[1][1:])}
-        plain = ({x for pair in split.values() for x in pair} | (words - split.keys())) - known.keys()
-        order = list(plain)
-        for w, e in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False), strict=True):
-            known[w] = self.packed(e.ids)
-        for w, (a, b) in split.items():
-            known[w] = known[a] + known[b]
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [self.packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def together(self, atoms: list[str]) -> None:
+        """Code atoms by the hundred: a string of them is cut where their bytes end. Those without a space in front are held apart by line ends."""
+        groups = [(s, own[k : k + TOGETHER]) for s, own in (("", [a for a in atoms if a[0] == " "]), ("\n", [a for a in atoms if a[0] != " "])) for k in range(0, len(own), TOGETHER)]
+        coded = self.library.encode_batch_fast([s.join(own) for s, own in groups], add_special_tokens=False) if groups else []
+        for (s, own), e in zip(groups, coded, strict=True):
+            ids = np.array(e.ids, self.kind)
+            ends = np.cumsum(self.bytes_of[ids])
+            stop = np.cumsum([len(a.encode()) + len(s) for a in own]) - len(s)
+            last = np.searchsorted(ends, stop)
+            if len(ends) == 0 or last[-1] != len(ends) - 1 or (ends[last] != stop).any():
+                self.atom.update(zip(own, self.alone(own), strict=True))
+                continue
+            raw, at = ids.tobytes(), 0
+            for a, n in zip(own, (last + 1).tolist(), strict=True):
+                self.atom[a] = raw[at * self.width : n * self.width]
+                at = n + len(s)
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of new words (with their spaces). Words with a line end inside are made of others and not remembered."""
+        single, cuts, need, tail = [], {}, set(), TAIL.match
+        for w in words:
+            if "\n" in w:
+                parts = []
+                for line in w.split("\n"):
+                    m = None if line[-1].isalpha() else tail(line)
+                    parts += ["\n", *m.groups()] if m and m[1].lstrip(" ").isalpha() else ["\n", line]
+                cuts[w] = parts[1:]
+                need.update(parts)
+            elif not w[-1].isalpha() and (m := tail(w)) and m[1].lstrip(" ").isalpha():
+                cuts[w] = m.groups()
+                need.update(m.groups())
+            else:
+                single.append(w)
+        need.update(single)
+        need.discard("\n")
+        if len(self.atom) > WORDS:
+            self.atom.clear()
+        atom = self.atom
+        atom["\n"] = self.line
+        self.together([a for a in need if a not in atom])
+        out = {w: atom[w] for w in single}
+        for w, parts in cuts.items():
+            out[w] = atom[parts[0]] + atom[parts[1]] if len(parts) == 2 else b"".join([atom[x] for x in parts])
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, equal to the library's for the whole text."""
-        cut = []
-        for t in texts:
-            if not t or ODD.search(t):
-                cut.append(None)
-            else:
-                first, *rest = t.split(" ")
-                cut.append([first, *[" " + w for w in rest]])
-        new = {w for c in cut if c for w in c if w not in self.word}
-        if new:
-            missing = {w for c in cut if c for w in c} if len(self.word) + len(new) > WORDS else new
-            self.learn(missing)
-        get = self.word.__getitem__
-        whole = [t for t, c in zip(texts, cut, strict=True) if c is None]
-        coded = iter([self.packed(e.ids) for e in self.library.encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
-        return [next(coded) if c is None else b"".join(map(get, c)) for c in cut]
+        cut = [None if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ODD) else t.split(" ") for t in texts]
+        if len(self.word) > WORDS:
+            self.word.clear()
+        known, every = self.word, set()
+        for c in cut:
+            if c:
+                c[0] = "\0" + c[0]  # the first word has no space in front
+                every.update(c)
+        new = every - known.keys()
+        made = self.learn({w[1:] if w[0] == "\0" else " " + w for w in new})
+        known.update({w: made[w[1:] if w[0] == "\0" else " " + w] for w in new})
+        get = known.__getitem__
+        whole = iter(self.alone([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        out = [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+        for w in new:
+            if "\n" in w:
+                del known[w]
+        return out
 
 
 _loaded: dict[str, Words] = {}
@@ -162,4 +208,4 @@ def write_token_files(docs: DataFrame, path: str) -> DataFrame:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files of a manifest (a row for each file)."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("first", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    return manifest.select("path", before).repartition("path").mapInArrow(read_files, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.select("path", before).repartition(max(1, manifest.count()), "path").mapInArrow(read_files, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
