@@ -54,21 +54,21 @@ def slots(width: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, share, changed): each document that holds an item, by at least percent of its distinct windows.
 
-    changed tells that some placeholder holds another value than in the item; a window of which half or more is placeholders is found only with the item's values. Null and empty texts, and texts without letters or digits, hold
+    changed tells that some placeholder holds another value than in the item; along such an alignment windows of which half or more is placeholders do not count. Null and empty texts, and texts without letters or digits, hold
     nothing and leak nothing. An item of fewer words than a window is one window and is found in a document of the same words. Rows without
     an id are dropped; repeated items are one, repeated documents one row each pair; extra columns are ignored."""
     items = benchmark.select(column(benchmark, "item_id", "bigint").alias("item_id"), column(benchmark, "text", "string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
-    w = windows(items, "item_id", width).select("item_id", "h", F.col("at").alias("item_at"), slots(width).alias("item_slots"))
+    w = windows(items, "item_id", width).select("item_id", "h", F.col("at").alias("item_at"), slots(width).alias("item_slots")).withColumn("weak", F.size("item_slots") * 2 >= width)
     n = w.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
     rows = w.count()
     own = windows(texts_of(docs), "doc_id", width)
-    hit = own.join(F.broadcast(w) if rows <= BROADCAST_ROWS else w, "h").select("doc_id", "item_id", "h", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), slots(width).alias("d")).alias("pairs"))
-    # a window that is mostly placeholders says something only if their values are the item's
-    hit = hit.filter((F.size("pairs") * 2 < width) | ~F.exists("pairs", lambda p: p["i"] != p["d"]))
+    hit = own.join(F.broadcast(w) if rows <= BROADCAST_ROWS else w, "h").select("doc_id", "item_id", "h", "weak", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), slots(width).alias("d")).alias("pairs"))
     # along one alignment an item's window comes once, so a group is at most as long as the item
-    lined = hit.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("h").alias("found"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    lined = hit.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("h").alias("found"), F.collect_set(F.when(~F.col("weak"), F.col("h"))).alias("strong"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     fits = (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs"))
-    kept = lined.filter(fits).select("doc_id", "item_id", F.exists("pairs", lambda p: p["i"] != p["d"]).alias("changed"), F.explode("found").alias("h"))
+    settled = lined.filter(fits).withColumn("changed", F.exists("pairs", lambda p: p["i"] != p["d"]))
+    # where values have changed, windows that are mostly placeholders say nothing
+    kept = settled.select("doc_id", "item_id", "changed", F.explode(F.when(F.col("changed"), F.col("strong")).otherwise(F.col("found"))).alias("h"))
     each = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_found"), F.max("changed").alias("changed"))
     return each.join(n, "item_id").filter(F.col("n_found") * 100 >= F.col("n_windows") * percent).select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("share"), "changed")
 
