@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,8 +21,6 @@ FILE_IDS, WORDS, END = 4_000_000, 900_000, 0
 #: Texts that are coded as a whole: two white spaces side by side or at an end, white space of other kinds, or what may be a special token. All others are cut before
 #: single spaces and around single line ends, where the vocabulary's pattern always cuts too.
 ODD = ("  ", "\n\n", " \n", "\n ", "<|", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-#: A word of letters with marks behind it, which the pattern cuts in two.
-TAIL = re.compile(r"( ?[^\W\d_]+)([.,;:!?|%&*#$]+)\Z")
 #: Words that go to the library in one string.
 TOGETHER = 256
 
@@ -42,8 +39,7 @@ class Words:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.word: dict[str, bytes] = {}  # words behind a space, without it
-        self.atom: dict[str, bytes] = {}  # parts of words as the pattern cuts them
+        self.word: dict[str, bytes] = {}  # a word behind a space, or behind "\0" where a text or line starts with it
         self.line = self.packed(self.library.encode("\n", add_special_tokens=False).ids)
 
     def packed(self, ids: list[int]) -> bytes:
@@ -52,70 +48,49 @@ class Words:
     def alone(self, texts: list[str]) -> list[bytes]:
         return [self.packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def together(self, atoms: list[str]) -> None:
-        """Code atoms by the hundred: a string of them is cut where their bytes end. Those without a space in front are held apart by line ends."""
-        groups = [(s, own[k : k + TOGETHER]) for s, own in (("", [a for a in atoms if a[0] == " "]), ("\n", [a for a in atoms if a[0] != " "])) for k in range(0, len(own), TOGETHER)]
-        coded = self.library.encode_batch_fast([s.join(own) for s, own in groups], add_special_tokens=False) if groups else []
-        for (s, own), e in zip(groups, coded, strict=True):
+    def learn(self, words: list[str], between: str) -> Iterator[bytes]:
+        """Ids of words by the hundred: in one string with a space before each, or with line ends between them, cut where each one's bytes end."""
+        width, lead = self.width, between == " "
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        strings = [between * lead + between.join(own) for own in groups]
+        for own, whole, e in zip(groups, strings, self.library.encode_batch_fast(strings, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.kind)
             ends = np.cumsum(self.bytes_of[ids])
-            stop = np.cumsum([len(a.encode()) + len(s) for a in own]) - len(s)
+            size = np.fromiter(map(len, own) if whole.isascii() else (len(w.encode()) for w in own), np.int64, len(own))
+            stop = np.cumsum(size + 1) - (not lead)
             last = np.searchsorted(ends, stop)
-            if len(ends) == 0 or last[-1] != len(ends) - 1 or (ends[last] != stop).any():
-                self.atom.update(zip(own, self.alone(own), strict=True))
+            if last[-1] != len(ends) - 1 or (ends[last] != stop).any():
+                yield from self.alone([between * lead + w for w in own])
                 continue
             raw, at = ids.tobytes(), 0
-            for a, n in zip(own, (last + 1).tolist(), strict=True):
-                self.atom[a] = raw[at * self.width : n * self.width]
-                at = n + len(s)
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words (with their spaces). Words with a line end inside are made of others and not remembered."""
-        single, cuts, need, tail = [], {}, set(), TAIL.match
-        for w in words:
-            if "\n" in w:
-                parts = []
-                for line in w.split("\n"):
-                    m = None if line[-1].isalpha() else tail(line)
-                    parts += ["\n", *m.groups()] if m and m[1].lstrip(" ").isalpha() else ["\n", line]
-                cuts[w] = parts[1:]
-                need.update(parts)
-            elif not w[-1].isalpha() and (m := tail(w)) and m[1].lstrip(" ").isalpha():
-                cuts[w] = m.groups()
-                need.update(m.groups())
-            else:
-                single.append(w)
-        need.update(single)
-        need.discard("\n")
-        if len(self.atom) > WORDS:
-            self.atom.clear()
-        atom = self.atom
-        atom["\n"] = self.line
-        self.together([a for a in need if a not in atom])
-        out = {w: atom[w] for w in single}
-        for w, parts in cuts.items():
-            out[w] = atom[parts[0]] + atom[parts[1]] if len(parts) == 2 else b"".join([atom[x] for x in parts])
-        return out
+            for n in ((last + 1) * width).tolist():
+                yield raw[at:n]
+                at = n + (0 if lead else len(self.line))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, equal to the library's for the whole text."""
-        cut = [None if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ODD) else t.split(" ") for t in texts]
+        cut = [None if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ODD) else ("\0" + t).split(" ") for t in texts]
         if len(self.word) > WORDS:
             self.word.clear()
         known, every = self.word, set()
         for c in cut:
             if c:
-                c[0] = "\0" + c[0]  # the first word has no space in front
                 every.update(c)
         new = every - known.keys()
-        made = self.learn({w[1:] if w[0] == "\0" else " " + w for w in new})
-        known.update({w: made[w[1:] if w[0] == "\0" else " " + w] for w in new})
+        lines = {w: ("\n\0".join(w.split("\n"))).split("\n") for w in new if "\n" in w}
+        new.difference_update(lines)
+        for parts in lines.values():
+            new.update(parts)
+        new -= known.keys()
+        behind, first = [w for w in new if w[0] != "\0"], [w for w in new if w[0] == "\0"]
+        known.update(zip(behind, self.learn(behind, " "), strict=True))
+        known.update(zip(first, self.learn([w[1:] for w in first], "\n"), strict=True))
         get = known.__getitem__
+        known.update({w: self.line.join(map(get, parts)) for w, parts in lines.items()})
         whole = iter(self.alone([t for t, c in zip(texts, cut, strict=True) if c is None]))
         out = [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
-        for w in new:
-            if "\n" in w:
-                del known[w]
+        for w in lines:  # made of others, and seldom met again
+            del known[w]
         return out
 
 
