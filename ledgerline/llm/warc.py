@@ -142,4 +142,4 @@ def write_pages(pages: DataFrame) -> DataFrame:
 
 def read_pages(manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records in the archives of a manifest."""
-    return manifest.select("path").repartition("path").mapInArrow(read_archives, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read_archives, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
