@@ -2,8 +2,8 @@
 
 A text is scanned for the base kinds. Then every encoded run in it (percent escapes, \\u and \\x escapes, base64, and
 compressed bytes inside base64) is decoded into a layer of its own, scanned and searched for encoded runs again, until no new layer
-appears; a layer whose text was seen before is not opened twice, so cycles end. Each layer carries, for every
-character, the range of the original text that it came from, and findings are reported there.
+appears; a layer of the same text from the same place is not opened twice, so cycles end, while equal layers at several places
+are each reported. Each layer carries, for every character, the range of the original text that it came from, and findings are reported there.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,27 +54,47 @@ def joined(spans: list[Span]) -> str:
 
 
 class Layer:
-    """A decoded text; origin[i] is the range of the original text behind character i (None: the text itself)."""
+    """A decoded text; origin[i] is the range of the original text behind character i (None: the text itself; one range: all characters have it)."""
 
     __slots__ = ("origin", "text")
 
-    def __init__(self, text: str, origin: list[tuple[int, int]] | None) -> None:
+    def __init__(self, text: str, origin: list[tuple[int, int]] | tuple[int, int] | None) -> None:
         self.text, self.origin = text, origin
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.origin is None:
             return start, end
+        if isinstance(self.origin, tuple):
+            return self.origin
         part = self.origin[start:end]
         return min(x[0] for x in part), max(x[1] for x in part)
 
 
-def _text_of(raw: bytes, ranges: list[tuple[int, int]]) -> Layer | None:
+class Places:
+    """The places of layers of one text; none is inside another, so starts and ends are both sorted."""
+
+    __slots__ = ("ends", "starts")
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def added(self, start: int, end: int) -> bool:
+        """Whether the place is a new one: a layer inside or around a known place comes from the same characters by another order of decoding, or from a cycle."""
+        low, high = bisect_left(self.starts, start), bisect_right(self.starts, start)
+        if (high and self.ends[high - 1] >= end) or (low < len(self.ends) and self.ends[low] <= end):
+            return False
+        self.starts.insert(high, start), self.ends.insert(high, end)
+        return True
+
+
+def _text_of(raw: bytes, ranges: list[tuple[int, int]] | tuple[int, int]) -> Layer | None:
     """UTF-8 bytes with each byte's range -> a layer; None if they are not text."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    if len(text) == len(raw):
+    if len(text) == len(raw) or isinstance(ranges, tuple):
         return Layer(text, ranges)
     origin, k = [], 0
     for c in text:
@@ -145,7 +166,7 @@ def _unbase64(layer: Layer, m: re.Match) -> tuple[Layer | None, bool]:
         return None, False
     if opened := _inflate(raw):
         whole = layer.place(m.start(), m.end())
-        return _text_of(opened[0], [whole] * len(opened[0])), opened[1]
+        return _text_of(opened[0], whole), opened[1]
     try:
         raw.decode()
     except UnicodeDecodeError:
@@ -158,7 +179,7 @@ def _unbase64(layer: Layer, m: re.Match) -> tuple[Layer | None, bool]:
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
     """(base spans, all spans, layers opened, layers longer than MOST_BYTES)."""
     base = base_spans(text)
-    found, seen, work, layers, cut = set(base), {text}, [Layer(text, None)], 0, 0
+    found, seen, work, layers, cut = set(base), {}, [Layer(text, None)], 0, 0
     while work:
         layer = work.pop()
         opened: list[Layer | None] = []
@@ -171,8 +192,7 @@ def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
             cut += over
             opened.append(new)
         for new in opened:
-            if new is not None and new.text and new.text not in seen:
-                seen.add(new.text)
+            if new is not None and new.text and seen.setdefault(new.text, Places()).added(*new.place(0, len(new.text))):
                 layers += 1
                 found |= {(*new.place(s, e), k) for s, e, k in base_spans(new.text)}
                 work.append(new)

@@ -137,6 +137,21 @@ def test_secret_layers():
     assert (text[s:e], k) == ("%70assword%3Dabcdef9", 0)
 
 
+def test_equal_layers_are_reported_at_every_place():
+    import base64
+    import gzip
+    from urllib.parse import quote
+
+    inner = "password = hunter22x"
+    plain = base64.b64encode(inner.encode()).decode()
+    for run in (plain, base64.b64encode(gzip.compress(inner.encode())).decode(), quote(inner, safe=""), "".join(f"\\u{ord(c):04x}" for c in inner), quote(plain + "%", safe="")):
+        text = f"a {run} b {run} c {plain} d"
+        assert len({s for s, *_ in secrets.scan(text)[1]}) == 3, run
+        assert run not in secrets.redacted(text) and plain not in secrets.redacted(text)
+    assert len(secrets.scan(f"{inner}; {plain}")[1]) == 2  # a layer equal to a part of the text
+    assert len(secrets.scan(" ".join([plain] * 50))[1]) == 50
+
+
 def test_secret_base_kinds():
     text = 'Password: "abc" token=abcdef api_key : AKIA' + "Q" * 20 + " " + "0a" * 12 + " " + "0a" * 11
     base = secrets.base_spans(text)
