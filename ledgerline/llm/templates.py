@@ -35,41 +35,46 @@ def template(words: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """rows (key, text) -> (key, words, shape, bare, at, h): every window of template words, or the whole text if it is shorter.
+    """rows (key, text) -> (key, words, shape, bare, at, id, kind, h): every window of template words, or the whole text if it is shorter.
 
-    Whether a capitalised word is a name depends on the word before it, so a window's first word is never taken for one."""
-    held = rows.select(key, marked(F.col("text")).alias("plain")).filter("plain <> ''").select(key, F.split("plain", " ").alias("words"), F.split(template(F.col("plain")), " ").alias("shape"), F.split(template(F.replace("plain", F.lit(NAME), F.lit(""))), " ").alias("bare"))
+    Whether a capitalised word is a name depends on the word before it, so a window's first word stands as it is (kind 0; id is this hash). If it was taken for a name, the window comes once more with its placeholder (kind 1)."""
+    plain = F.replace("plain", F.lit(NAME), F.lit(""))
+    held = rows.select(key, marked(F.col("text")).alias("plain")).filter("plain <> ''").select(key, F.split(plain, " ").alias("words"), F.split(template(F.col("plain")), " ").alias("shape"), F.split(template(plain), " ").alias("bare"))
     last = F.greatest(F.size("shape") - width, F.lit(0))
     at = held.select(key, "words", "shape", "bare", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    return at.withColumn("h", F.xxhash64(F.get("bare", "at"), *[F.get("shape", F.col("at") + k) for k in range(1, width)]))
+    first, rest = F.get("shape", "at"), [F.get("shape", F.col("at") + k) for k in range(1, width)]
+    at = at.withColumn("id", F.xxhash64(F.get("bare", "at"), *rest))
+    kinds = F.array(F.col("id"), F.when(first == NAME, F.xxhash64(first, *rest)))
+    return at.select("*", F.posexplode(kinds).alias("kind", "h")).filter("h IS NOT NULL")
 
 
 def slots(width: int) -> Column:
     """The values behind a window's placeholders, in order."""
-    first = F.replace(F.get("words", "at"), F.lit(NAME), F.lit(""))
-    part = [F.when(F.get("bare", "at") != first, first)] + [F.when(F.get("shape", F.col("at") + k) != F.get("words", F.col("at") + k), F.get("words", F.col("at") + k)) for k in range(1, width)]
-    return F.array_compact(F.array(*part))
+    shapes = [F.when(F.col("kind") == 1, F.get("shape", "at")).otherwise(F.get("bare", "at"))] + [F.get("shape", F.col("at") + k) for k in range(1, width)]
+    return F.array_compact(F.array(*[F.when(s != F.get("words", F.col("at") + k), F.get("words", F.col("at") + k)) for k, s in enumerate(shapes)]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, share, changed): each document that holds an item, by at least percent of its distinct windows.
 
-    changed tells that some placeholder holds another value than in the item; along such an alignment windows of which half or more is placeholders do not count. Null and empty texts, and texts without letters or digits, hold
+    changed tells that some placeholder holds another value than in the item; along such an alignment windows with another value of which half or more is placeholders count only beside one that has fewer. Null and empty texts, and texts without letters or digits, hold
     nothing and leak nothing. An item of fewer words than a window is one window and is found in a document of the same words. Rows without
     an id are dropped; repeated items are one, repeated documents one row each pair; extra columns are ignored."""
     items = benchmark.select(column(benchmark, "item_id", "bigint").alias("item_id"), column(benchmark, "text", "string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
-    w = windows(items, "item_id", width).select("item_id", "h", F.col("at").alias("item_at"), slots(width).alias("item_slots")).withColumn("weak", F.size("item_slots") * 2 >= width)
-    n = w.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    w = windows(items, "item_id", width).select("item_id", "h", "id", F.col("at").alias("item_at"), slots(width).alias("item_slots")).withColumn("weak", F.size("item_slots") * 2 >= width)
+    n = w.groupBy("item_id").agg(F.countDistinct("id").alias("n_windows"))
     rows = w.count()
-    own = windows(texts_of(docs), "doc_id", width)
-    hit = own.join(F.broadcast(w) if rows <= BROADCAST_ROWS else w, "h").select("doc_id", "item_id", "h", "weak", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), slots(width).alias("d")).alias("pairs"))
-    # along one alignment an item's window comes once, so a group is at most as long as the item
-    lined = hit.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("h").alias("found"), F.collect_set(F.when(~F.col("weak"), F.col("h"))).alias("strong"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    own = windows(texts_of(docs), "doc_id", width).drop("id")
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), slots(width).alias("d"))
+    hit = own.join(F.broadcast(w) if rows <= BROADCAST_ROWS else w, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("id", "weak", pairs.alias("pairs")).alias("w"))
+    # along one alignment an item's window comes once of each kind, so a group is bounded by the item
+    lined = hit.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("w").alias("ws")).withColumn("pairs", F.array_distinct(F.flatten("ws.pairs")))
     fits = (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs"))
-    settled = lined.filter(fits).withColumn("changed", F.exists("pairs", lambda p: p["i"] != p["d"]))
-    # where values have changed, windows that are mostly placeholders say nothing
-    kept = settled.select("doc_id", "item_id", "changed", F.explode(F.when(F.col("changed"), F.col("strong")).otherwise(F.col("found"))).alias("h"))
-    each = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_found"), F.max("changed").alias("changed"))
+    same = lambda w: F.forall(w["pairs"], lambda p: p["i"] == p["d"])
+    # windows that are mostly placeholders say nothing by themselves where values have changed
+    settled = lined.filter(fits).withColumn("backed", F.exists("ws", lambda w: ~w["weak"]))
+    kept = settled.select("doc_id", "item_id", F.explode(F.filter("ws", lambda w: F.col("backed") | same(w))).alias("w")).select("doc_id", "item_id", "w.id", (~same(F.col("w"))).alias("changed"))
+    each = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("id").alias("n_found"), F.max("changed").alias("changed"))
     return each.join(n, "item_id").filter(F.col("n_found") * 100 >= F.col("n_windows") * percent).select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("share"), "changed")
 
 

@@ -370,6 +370,24 @@ def test_templates_find_changed_questions(spark):
     assert templates.leaks(frame(spark, []), bench).count() == 0 and templates.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def found(spark, item, *texts):
+    """n_found and n_windows by number of the text, with a share of nothing asked for."""
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_found, r.n_windows) for r in templates.leaks(frame(spark, list(enumerate(texts))), bench, percent=0).collect()}
+    return [got.get(k, (0, 0)) for k in range(len(texts))]
+
+
+SHOP = "A shop sells Tom 5 kg of rice for 12 usd, 3 kg of beans for 7 usd and 2 kg of salt for 4 usd. How much does Tom pay for 10 kg?"
+OTHER_SHOP = SHOP.translate(str.maketrans({"5": "41", "3": "62", "7": "83", "4": "94"})).replace("12", "55").replace("10", "66").replace(" 2 ", " 77 ").replace("Tom", "Eve")
+
+
+def test_templates_find_dense_questions(spark):
+    hens = "On the farm Tom has 3 hens, Ann has 5 hens and Bob has 7 hens"
+    others = hens.replace("Tom", "Eve").replace("Ann", "Kim").replace("Bob", "Joe").replace("3", "31").replace("5", "52").replace("7", "73")
+    assert all(n * 100 >= of * 80 for n, of in [*found(spark, SHOP, "So. " + OTHER_SHOP), *found(spark, hens, "So. " + others)])
+    assert found(spark, "12 5 and 3 8 and 4 9", "so 13 6 and 7 1 and 2 4") == [(0, 0)]  # nothing but placeholders beside one word
+
+
 # tool calls ------------------------------------------------------------------------------------------------------------
 
 
