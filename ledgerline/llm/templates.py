@@ -8,6 +8,9 @@ and a chance match of placeholders is not. An item leaks if enough of its window
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +40,21 @@ def template(words: Column) -> Column:
 def windows(rows: DataFrame, key: str, width: int) -> DataFrame:
     """rows (key, text) -> (key, words, shape, bare, at, id, kind, h): every window of template words, or the whole text if it is shorter.
 
-    Whether a capitalised word is a name depends on the word before it, so a window's first word stands as it is (kind 0; id is this hash). If it was taken for a name, the window comes once more with its placeholder (kind 1)."""
+    Whether a capitalised word is a name depends on the word before it, so a window's first word stands as it is (kind 0; id is this hash). If it was taken for a name, the window comes once more with its placeholder (kind 1), and with names behind it, once more with all names as words (kind 2), as a copy in other case has them."""
     plain = F.replace("plain", F.lit(NAME), F.lit(""))
     held = rows.select(key, marked(F.col("text")).alias("plain")).filter("plain <> ''").select(key, F.split(plain, " ").alias("words"), F.split(template(F.col("plain")), " ").alias("shape"), F.split(template(plain), " ").alias("bare"))
     last = F.greatest(F.size("shape") - width, F.lit(0))
     at = held.select(key, "words", "shape", "bare", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    first, rest = F.get("shape", "at"), [F.get("shape", F.col("at") + k) for k in range(1, width)]
+    first, *rest = [F.get("shape", F.col("at") + k) for k in range(width)]
     at = at.withColumn("id", F.xxhash64(F.get("bare", "at"), *rest))
-    kinds = F.array(F.col("id"), F.when(first == NAME, F.xxhash64(first, *rest)))
+    named = reduce(or_, [F.coalesce(x == NAME, F.lit(False)) for x in rest], F.lit(False))
+    kinds = F.array(F.col("id"), F.when(first == NAME, F.xxhash64(first, *rest)), F.when(named, F.xxhash64(*[F.get("bare", F.col("at") + k) for k in range(width)])))
     return at.select("*", F.posexplode(kinds).alias("kind", "h")).filter("h IS NOT NULL")
 
 
 def slots(width: int) -> Column:
     """The values behind a window's placeholders, in order."""
-    shapes = [F.when(F.col("kind") == 1, F.get("shape", "at")).otherwise(F.get("bare", "at"))] + [F.get("shape", F.col("at") + k) for k in range(1, width)]
+    shapes = [F.when(F.col("kind") == 1, F.get("shape", "at")).otherwise(F.get("bare", "at"))] + [F.when(F.col("kind") == 2, F.get("bare", F.col("at") + k)).otherwise(F.get("shape", F.col("at") + k)) for k in range(1, width)]
     return F.array_compact(F.array(*[F.when(s != F.get("words", F.col("at") + k), F.get("words", F.col("at") + k)) for k, s in enumerate(shapes)]))
 
 

@@ -388,6 +388,11 @@ def test_templates_find_dense_questions(spark):
     assert found(spark, "12 5 and 3 8 and 4 9", "so 13 6 and 7 1 and 2 4") == [(0, 0)]  # nothing but placeholders beside one word
 
 
+def test_templates_find_copies_in_any_case(spark):
+    item = "A train leaves Boston with 120 people and after 15 min it meets 120 more people near Boston again"
+    assert found(spark, item, item.lower(), item.upper(), item.title()) == [(15, 15)] * 3
+
+
 # tool calls ------------------------------------------------------------------------------------------------------------
 
 
