@@ -3,7 +3,7 @@
 Texts become templates: marks are dropped, numbers, names and units give way to typed placeholders. Windows of template words of the
 documents are hash-joined with those of the benchmark items. Along each alignment of a document with an item (the distance between
 their positions) the values in the placeholders must map one to one, so a question with other numbers or names is caught,
-and a chance match of placeholders is not. An item leaks if enough of its windows are found.
+and a chance match of placeholders is not; windows that break the mapping do not count, the others do. An item leaks if enough of its windows are found.
 """
 
 from __future__ import annotations
@@ -52,10 +52,27 @@ def windows(rows: DataFrame, key: str, width: int) -> DataFrame:
     return at.select("*", F.posexplode(kinds).alias("kind", "h")).filter("h IS NOT NULL")
 
 
-def slots(width: int) -> Column:
-    """The values behind a window's placeholders, in order."""
+def slots(width: int, places: bool = False) -> Column:
+    """The values behind a window's placeholders, in order, or their places in the text."""
     shapes = [F.when(F.col("kind") == 1, F.get("shape", "at")).otherwise(F.get("bare", "at"))] + [F.when(F.col("kind") == 2, F.get("bare", F.col("at") + k)).otherwise(F.get("shape", F.col("at") + k)) for k in range(1, width)]
-    return F.array_compact(F.array(*[F.when(s != F.get("words", F.col("at") + k), F.get("words", F.col("at") + k)) for k, s in enumerate(shapes)]))
+    return F.array_compact(F.array(*[F.when(s != F.get("words", F.col("at") + k), F.col("at") + k if places else F.get("words", F.col("at") + k)) for k, s in enumerate(shapes)]))
+
+
+def pair(p: Column) -> Column:
+    return F.struct(p["i"].alias("i"), p["d"].alias("d"))
+
+
+def same(w: Column) -> Column:
+    return F.forall(w["pairs"], lambda p: p["i"] == p["d"])
+
+
+def consistent() -> Column:
+    """The windows of ws that are verbatim or keep to one mapping of values: of pairs that share just one side the one at more places stands, at a tie the one that changes nothing."""
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  value is worked out once
+    counts = lambda every: F.transform("pairs", lambda p: F.struct(F.size(F.filter(every, lambda x: pair(x) == p)).alias("n"), (p["i"] == p["d"]).alias("same"), p["i"].alias("i"), p["d"].alias("d")))
+    stands = lambda counted: F.filter(counted, lambda p: ~F.exists(counted, lambda q: ((q["i"] == p["i"]) != (q["d"] == p["d"])) & (q > p)))
+    good = F.transform(let(let(F.array_distinct(F.flatten("ws.pairs")), counts), stands), pair)
+    return let(good, lambda held: F.filter("ws", lambda w: same(w) | F.forall(w["pairs"], lambda p: F.array_contains(held, pair(p)))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -65,18 +82,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: in
     nothing and leak nothing. An item of fewer words than a window is one window and is found in a document of the same words. Rows without
     an id are dropped; repeated items are one, repeated documents one row each pair; extra columns are ignored."""
     items = benchmark.select(column(benchmark, "item_id", "bigint").alias("item_id"), column(benchmark, "text", "string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
-    w = windows(items, "item_id", width).select("item_id", "h", "id", F.col("at").alias("item_at"), slots(width).alias("item_slots")).withColumn("weak", F.size("item_slots") * 2 >= width)
+    w = windows(items, "item_id", width).select("item_id", "h", "id", F.col("at").alias("item_at"), slots(width).alias("item_slots"), slots(width, True).alias("places")).withColumn("weak", F.size("item_slots") * 2 >= width)
     n = w.groupBy("item_id").agg(F.countDistinct("id").alias("n_windows"))
     rows = w.count()
     own = windows(texts_of(docs), "doc_id", width).drop("id")
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), slots(width).alias("d"))
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), slots(width).alias("d"), F.col("places").alias("at"))
     hit = own.join(F.broadcast(w) if rows <= BROADCAST_ROWS else w, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("id", "weak", pairs.alias("pairs")).alias("w"))
     # along one alignment an item's window comes once of each kind, so a group is bounded by the item
-    lined = hit.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("w").alias("ws")).withColumn("pairs", F.array_distinct(F.flatten("ws.pairs")))
+    lined = hit.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("w").alias("ws")).withColumn("pairs", F.array_distinct(F.transform(F.flatten("ws.pairs"), pair)))
     fits = (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs"))
-    same = lambda w: F.forall(w["pairs"], lambda p: p["i"] == p["d"])
     # windows that are mostly placeholders say nothing by themselves where values have changed
-    settled = lined.filter(fits).withColumn("backed", F.exists("ws", lambda w: ~w["weak"]))
+    settled = lined.withColumn("ws", F.when(fits, F.col("ws")).otherwise(consistent())).withColumn("backed", F.exists("ws", lambda w: ~w["weak"]))
     kept = settled.select("doc_id", "item_id", F.explode(F.filter("ws", lambda w: F.col("backed") | same(w))).alias("w")).select("doc_id", "item_id", "w.id", (~same(F.col("w"))).alias("changed"))
     each = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("id").alias("n_found"), F.max("changed").alias("changed"))
     return each.join(n, "item_id").filter(F.col("n_found") * 100 >= F.col("n_windows") * percent).select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("share"), "changed")

@@ -393,6 +393,17 @@ def test_templates_find_copies_in_any_case(spark):
     assert found(spark, item, item.lower(), item.upper(), item.title()) == [(15, 15)] * 3
 
 
+def test_templates_drop_only_windows_that_break_the_mapping(spark):
+    rest = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(50))
+    item = "first 40 pears and " + rest + " last 40 plums end"
+    once = item.replace("40", "41", 1)
+    assert found(spark, item, once, "so " + item.replace("40", "7")) == [(52, 54), (54, 54)]
+    # two values that become equal: one of them stands
+    two = "it has 40 pears and " + rest + " and 40 plums with 50 apples here"
+    n, of = found(spark, two, "so " + two.replace("40", "9").replace("50", "9"))[0]
+    assert 0.8 * of <= n < of
+
+
 # tool calls ------------------------------------------------------------------------------------------------------------
 
 
