@@ -32,8 +32,15 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:[^\s%]*%[0-9A-Fa-f]{2})+[^\s%]*")
 ESCAPED = re.compile(r"(?:[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[^\s\\]*")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: The most bytes that one compressed layer may open to, so that a bomb cannot fill memory; a longer layer is scanned to that length and counted.
-MOST_BYTES = 64 << 20
+#: Base64 over several lines (a line end may stand as an escape): all lines but the last have 16 characters or more.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+LINE = re.compile(r"(?:^|(?<=[\r\n \t])|(?<=\\n))[A-Za-z0-9+/_-]+")
+#: What bytes that are not text as a whole must hold for any finding: the least of them has 12 characters, however often encoded.
+READABLE = re.compile(rb"[\t\n\r -~]{12}")
+#: A compressed layer is scanned in pieces of so many bytes, so that a bomb cannot fill memory. A piece ends at a space or line end that is not within
+#: a wrapped run; where there is none, it is cut with an overlap, and counted.
+MOST_BYTES, OVERLAP = 64 << 20, 1 << 20
+BREAK = re.compile(rb"[^A-Za-z0-9+/_=\\ \t\r\n:-][ \t]*\r?\n")
 
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -53,6 +60,9 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
+LONE = re.compile("[\ud800-\udfff]")
+
+
 class Layer:
     """A decoded text; origin[i] is the range of the original text behind character i (None: the text itself; one range: all characters have it)."""
 
@@ -88,23 +98,20 @@ class Places:
         return True
 
 
-def _text_of(raw: bytes, ranges: list[tuple[int, int]] | tuple[int, int]) -> Layer | None:
-    """UTF-8 bytes with each byte's range -> a layer; None if they are not text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if len(text) == len(raw) or isinstance(ranges, tuple):
-        return Layer(text, ranges)
-    origin, k = [], 0
-    for c in text:
-        n = len(c.encode())
-        origin.append((min(x[0] for x in ranges[k : k + n]), max(x[1] for x in ranges[k : k + n])))
-        k += n
-    return Layer(text, origin)
+def _text_of(raw: bytes, ranges: list[tuple[int, int]] | tuple[int, int]) -> Layer:
+    """Bytes with each one's range -> a layer; a byte that is not UTF-8 becomes one replacement character."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if len(text) != len(raw) and isinstance(ranges, list):
+        origin, k = [], 0
+        for c in text:
+            n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+            origin.append((min(x[0] for x in ranges[k : k + n]), max(x[1] for x in ranges[k : k + n])))
+            k += n
+        ranges = origin
+    return Layer(LONE.sub("\ufffd", text), ranges)
 
 
-def _unpercent(layer: Layer, m: re.Match) -> Layer | None:
+def _unpercent(layer: Layer, m: re.Match) -> Layer:
     raw, ranges, k, t = bytearray(), [], m.start(), layer.text
     while k < m.end():
         if t[k] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", t[k + 1 : k + 3]):
@@ -144,55 +151,111 @@ def _unescape(layer: Layer, m: re.Match) -> Layer | None:
     return Layer(text, origin)
 
 
-def _inflate(raw: bytes) -> tuple[bytes, bool] | None:
-    """The content of gzip or zlib data and whether it was longer than MOST_BYTES; None if it is neither."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(raw, MOST_BYTES)
-    except zlib.error:
-        return None
-    return out, bool(d.unconsumed_tail)
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 < 8 and (raw[0] * 256 + raw[1]) % 31 == 0)
 
 
-def _unbase64(layer: Layer, m: re.Match) -> tuple[Layer | None, bool]:
-    run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-    if len(run) % 4 == 1:
-        return None, False
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """The content of gzip (every member) or zlib data as far as it can be read, in parts."""
+    while _compressed(raw):
+        d = zlib.decompressobj(47)
+        while not d.eof:
+            try:
+                part = d.decompress(raw, OVERLAP)
+            except zlib.error:
+                return
+            if part:
+                yield part
+            raw = d.unconsumed_tail
+            if not part and not raw:
+                break
+        if not d.eof:
+            return
+        raw = d.unused_data.lstrip(b"\0")
+
+
+def _pieces(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The content of compressed data in pieces that hold whole runs, each with whether it was cut inside what may be one."""
+    held = bytearray()
+    for part in _inflated(raw):
+        held += part
+        if len(held) > MOST_BYTES:
+            at = max((m.end() for m in BREAK.finditer(held, max(0, len(held) - 2 * OVERLAP))), default=0)
+            yield bytes(held[: at or len(held)]), not at
+            del held[: at or len(held) - OVERLAP]
+    if held:
+        yield bytes(held), False
+
+
+def _unbase64(layer: Layer, run: str, at: list[int]) -> Iterator[tuple[Layer, bool]]:
+    """The layers in a run of base64 characters that stand at the places `at` of a layer."""
+    run = run[: len(run) - (len(run) % 4 == 1)]
     try:
-        raw = base64.b64decode(run + "=" * (-len(run) % 4))
+        raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
-        return None, False
-    if opened := _inflate(raw):
-        whole = layer.place(m.start(), m.end())
-        return _text_of(opened[0], whole), opened[1]
-    try:
-        raw.decode()
-    except UnicodeDecodeError:
-        return None, False
-    if any(b < 9 or 13 < b < 32 for b in raw):
-        return None, False
-    return _text_of(raw, [layer.place(m.start() + k // 3 * 4, min(m.end(), m.start() + k // 3 * 4 + 4)) for k in range(len(raw))]), False
+        return
+    if _compressed(raw) and (first := next(whole := _pieces(raw), None)):
+        place = layer.place(at[0], at[len(run) - 1] + 1)
+        yield _text_of(first[0], place), first[1]
+        for piece, over in whole:
+            yield _text_of(piece, place), over
+        return
+    if not READABLE.search(raw):
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return
+        if any(b < 9 or 13 < b < 32 for b in raw):
+            return
+    groups = [layer.place(at[k], at[min(k + 4, len(run)) - 1] + 1) for k in range(0, len(run), 4)]
+    yield _text_of(raw, [groups[k // 3] for k in range(len(raw))]), False
+
+
+def _behind_escape(text: str, m: re.Match) -> list[int]:
+    """Where a run may begin as well if its first character is that of an escaped line end or tab."""
+    return [1] if text[max(0, m.start() - 1) : m.start() + 1] in ("\\n", "\\r", "\\t") else []
+
+
+def _unwrapped(layer: Layer, m: re.Match) -> Iterator[tuple[Layer, bool]]:
+    """Base64 over several lines, from the first line of each alignment by four, and from each that begins compressed data.
+
+    Lines before the first of the data may be words, so any line may be the first; characters behind the data add nothing but noise."""
+    run, at, starts = [], [], []
+    for line in LINE.finditer(m.group()):
+        starts.append(len(at))
+        run.append(line.group())
+        at += range(m.start() + line.start(), m.start() + line.end())
+    joined_, done = "".join(run), set()
+    for start in [*starts[:1], *_behind_escape(layer.text, m), *starts[1:]]:
+        head = joined_[start : start + 4].replace("-", "+").replace("_", "/")
+        if start % 4 not in done or (len(head) == 4 and _compressed(base64.b64decode(head))):
+            done.add(start % 4)
+            yield from _unbase64(layer, joined_[start:], at[start:])
+
+
+def _opened(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """The layers of all encoded runs of a layer, each with whether it was cut."""
+    t = layer.text
+    if "%" in t:
+        yield from ((_unpercent(layer, m), False) for m in PERCENT.finditer(t))
+    if "\\u" in t or "\\x" in t:
+        yield from ((_unescape(layer, m), False) for m in ESCAPED.finditer(t))
+    for m in BASE64.finditer(t):
+        for k in (0, *_behind_escape(t, m)):
+            yield from _unbase64(layer, m.group()[k:].rstrip("="), range(m.start() + k, m.end()))
+    for m in WRAPPED.finditer(t):
+        yield from _unwrapped(layer, m)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """(base spans, all spans, layers opened, layers longer than MOST_BYTES)."""
+    """(base spans, all spans, layers opened, pieces of layers cut inside a run)."""
     base = base_spans(text)
     found, seen, work, layers, cut = set(base), {}, [Layer(text, None)], 0, 0
     while work:
         layer = work.pop()
-        opened: list[Layer | None] = []
-        if "%" in layer.text:
-            opened += [_unpercent(layer, m) for m in PERCENT.finditer(layer.text)]
-        if "\\u" in layer.text or "\\x" in layer.text:
-            opened += [_unescape(layer, m) for m in ESCAPED.finditer(layer.text)]
-        for m in BASE64.finditer(layer.text):
-            new, over = _unbase64(layer, m)
+        for new, over in _opened(layer):
             cut += over
-            opened.append(new)
-        for new in opened:
-            if new is not None and new.text and seen.setdefault(new.text, Places()).added(*new.place(0, len(new.text))):
+            if new.text and seen.setdefault(new.text, Places()).added(*new.place(0, len(new.text))):
                 layers += 1
                 found |= {(*new.place(s, e), k) for s, e, k in base_spans(new.text)}
                 work.append(new)

@@ -152,6 +152,30 @@ def test_equal_layers_are_reported_at_every_place():
     assert len(secrets.scan(" ".join([plain] * 50))[1]) == 50
 
 
+def test_secret_layers_are_whole(monkeypatch):
+    import base64
+    import gzip
+    import textwrap
+
+    inner = "".join(f"line {k} of words, " for k in range(40)) + "password = hunter22x" + " and more" * 20
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    noise = random.Random(1).randbytes(3000)
+    members = gzip.compress(b"first " + noise.hex(" ").encode()) + gzip.compress(inner.encode())
+    for width in (64, 70, 76):
+        for raw in (inner.encode(), gzip.compress((noise.hex(" ") + inner).encode()), members, zlib.compress(inner.encode())):
+            for end in ("\n", "\r\n", "\n  ", "\\n"):
+                body = end.join(textwrap.wrap(b64(raw), width))
+                text = f"key word{end}{body} tail"
+                assert 0 in {k for *_, k in secrets.scan(text)[1]}, (width, end)
+    for run in ("a%E9b&password%3Dabcdefgh", b64(b"\xe9\x00 password=abcdefgh \xff"), b64(gzip.compress(b"\xe9 password=abcdefgh"))):
+        assert secrets.redacted(f"x {run} y").count("[assign]") == 1, run
+    big = ("some words of text.\n" * 40_000 + "é") * 3 + inner
+    monkeypatch.setattr(secrets, "MOST_BYTES", 1 << 20)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 16)
+    _, every, _, cut = secrets.scan(b64(gzip.compress(big.encode())))
+    assert len(every) == 1 and not cut
+
+
 def test_secret_base_kinds():
     text = 'Password: "abc" token=abcdef api_key : AKIA' + "Q" * 20 + " " + "0a" * 12 + " " + "0a" * 11
     base = secrets.base_spans(text)
