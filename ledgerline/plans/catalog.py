@@ -102,7 +102,7 @@ def dates(g: Graph) -> DataFrame:
 
 @query
 def slugs(g: Graph) -> DataFrame:
-    return g.docs.select("doc_id", tx.slug(F.substring("text", 1, 80)).alias("slug"))
+    return g.docs.select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 # sources -----------------------------------------------------------------------------------------------------------
