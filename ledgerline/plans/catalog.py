@@ -52,14 +52,16 @@ class Graph:
     def pending(self) -> DataFrame:
         return extract.pending(self.episodes, self.events()[2], "v2")
 
-    def mixed_hits(self, walk: int = 1200) -> DataFrame:
-        """Ranked hits over the seed claims and then the corpus, as many as the walk's budget allows."""
+    def mixed_hits(self, walk: int | None = None) -> DataFrame:
+        """Ranked hits over the seed claims and then the corpus: all, or as many as a walk's budget allows."""
         s = self.seeds(k.SEED_CLAIMS)
         c = s.select(F.col("k").alias("claim_key"), F.lit(0).cast("bigint").alias("doc_id"), F.col("t").alias("text"), F.lit("staged").alias("status")).union(self.claims.select(F.col("claim_key") + 100, "doc_id", "text", "status"))
         li = s.select((F.col("k") * 2).alias("seq"), F.col("k").alias("claim_key"), F.concat(F.lit("doc-"), (F.col("k") % 3).cast("string")).alias("episode_id")).union(self.lineage.select(F.col("seq") + 200, F.col("claim_key") + 100, "episode_id"))
         return search.ranked(search.search(c, li, self.episodes, "", budget=walk, as_of=k.AS_OF))
 
 
+#: Claims that the budgeted passes walk.
+WALK = 1200
 HITS = ["claim_key", "text", "status", "authority_tier", "cutoff", "stale", "episodes"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,7 +236,7 @@ def scan_numeric(g: Graph) -> DataFrame:
 
 @query
 def scan_budget(g: Graph) -> DataFrame:
-    return pairs.budgeted(pairs.scan_pairs(g.mixed_hits()), 40)
+    return pairs.budgeted(pairs.scan_pairs(g.mixed_hits(WALK)), 40)
 
 
 @query
@@ -258,7 +260,7 @@ def er_alias(g: Graph) -> DataFrame:
 
 @query
 def er_budget(g: Graph) -> DataFrame:
-    h = g.mixed_hits()
+    h = g.mixed_hits(WALK)
     return pairs.budgeted(pairs.equal_pairs(h).union(pairs.contained_pairs(h)).union(pairs.alias_pairs(h, _aliases(g))), k.PAIR_BUDGET)
 
 

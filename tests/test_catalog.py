@@ -19,3 +19,8 @@ def test_slugs_take_whole_texts(spark, folder):
     d, rows = folder
     got = {r.doc_id: r.slug for r in QUERIES["slugs"](spark, d).collect()}
     assert got[600].endswith("rates-rose-to-9-points-there") and all(got[i].count("-") > 20 for i, _ in rows)
+
+
+def test_passes_without_a_budget_reach_the_last_claims(spark, folder):
+    rules = {q: {(r.from_claim, r.to_claim) for r in QUERIES[q](spark, folder[0]).collect() if r.from_claim >= 1900} for q in ("scan_negation", "scan_numeric", "er_equality")}
+    assert rules == {"scan_negation": {(1900, 1901)}, "scan_numeric": {(1902, 1903), (1902, 1904)}, "er_equality": {(1903, 1904)}}
