@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,100 +12,190 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, texts_of
+from .common import shared_dir, slices, stored, text_buffers, texts_of
 from .files import Saved, content
 from .huffman import canonical, code_lengths, read, written
 
-#: Ids of one file at most (a longer document stands alone), words a worker remembers, and the end id.
-FILE_IDS, WORDS, END = 4_000_000, 700_000, 0
-#: Texts that are coded as a whole: two white spaces side by side or at an end, white space of other kinds, or what may be a special token. All others are cut before
-#: single spaces and around single line ends, where the vocabulary's pattern always cuts too.
-ODD = ("  ", "\n\n", " \n", "\n ", "<|", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-#: Words that go to the library in one string.
-TOGETHER = 256
+#: Ids of one file at most (a longer document stands alone); distinct words a worker remembers; text bytes coded at once; the end id.
+FILE_IDS, WORDS, BYTES, END = 4_000_000, 400_000, 12 << 20, 0
+#: Words that go to the library in one string, and the code points whose class is known; a text with one beyond goes to the library as a whole.
+TOGETHER, POINTS = 2048, 0x20000
+#: Fixed values of the vocabulary's pattern: classes of characters, and what an apostrophe that begins a word takes with it.
+LETTER, NUMBER, OTHER, WHITE = range(4)
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
-class Words:
-    """Ids of a tokenizers file, word by word, remembered. Keys are words with the space before them."""
+class Coder:
+    """Ids of a byte-level tokenizers file.
+
+    Texts are cut into the pattern's words in numpy; the distinct words go to the library, already in the vocabulary's
+    byte alphabet and many in one string, and their ids are dealt back to the places of the words."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.inner = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        spec = json.loads(self.library.to_str())
+        own = spec["pre_tokenizer"] or {}
+        if (own.get("type"), own.get("add_prefix_space"), own.get("use_regex")) != ("ByteLevel", False, True) or spec["normalizer"] or spec["post_processor"]:
+            raise ValueError("only byte-level vocabularies with the usual pattern, no normaliser and no post-processor")
+        self.inner.pre_tokenizer, self.inner.encode_special_tokens = pre_tokenizers.CharDelimiterSplit(" "), True
+        self.special = [t["content"] for t in spec["added_tokens"]]
         vocabulary = self.library.get_vocab()
-        self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
-        self.code, self.width = np.dtype(self.kind).char, np.dtype(self.kind).itemsize
+        self.kind = id_kind(path)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.word: dict[str, bytes] = {}  # a word behind a space, or behind "\0" where a text or line starts with it
-        self.line = self.packed(self.library.encode("\n", add_special_tokens=False).ids)
-
-    def packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def alone(self, texts: list[str]) -> list[bytes]:
-        return [self.packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def learn(self, words: list[str], between: str) -> Iterator[bytes]:
-        """Ids of words by the hundred: in one string with a space before each, or with line ends between them, cut where each one's bytes end."""
-        width, lead = self.width, between == " "
-        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        strings = [between * lead + between.join(own) for own in groups]
-        for own, whole, e in zip(groups, strings, self.library.encode_batch_fast(strings, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            ends = np.cumsum(self.bytes_of[ids])
-            size = np.fromiter(map(len, own) if whole.isascii() else (len(w.encode()) for w in own), np.int64, len(own))
-            stop = np.cumsum(size + 1) - (not lead)
-            last = np.searchsorted(ends, stop)
-            if last[-1] != len(ends) - 1 or (ends[last] != stop).any():
-                yield from self.alone([between * lead + w for w in own])
-                continue
+        self.classes = self._classes()
+        # printable bytes stand for themselves in the byte alphabet, the others for the code points from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = np.arange(256, dtype="<u4")
+        self.letters[rest] = np.arange(256, 256 + len(rest))
+        self.known: dict[bytes, bytes] = {}
+
+    def _classes(self) -> np.ndarray:
+        """The class of every code point below POINTS, asked of the library: what it leaves in one word with a letter, a digit or a mark."""
+        points = np.array([c for c in range(POINTS) if not 0xD800 <= c < 0xE000])
+        out = np.full(POINTS, WHITE, np.uint8)
+        for kind, beside in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+            words = self.library.pre_tokenizer.pre_tokenize_str("".join(f"\n{beside}{chr(c)}" for c in points.tolist()))
+            cut = np.zeros(3 * len(points) + 1, bool)
+            cut[np.fromiter((span[0] for _, span in words), np.int64, len(words))] = True
+            alone = cut[2 : 3 * len(points) : 3]
+            out[points[~alone]] = kind
+            points = points[alone]
+        return out
+
+    def cuts(self, data: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where a word of the pattern starts, rows with a code point beyond the classes) of rows of UTF-8 that begin at rel."""
+        n = len(data)
+        kind = self.classes[data]
+        high = np.flatnonzero(data >= 0xC0)
+        odd = np.zeros(0, np.int64)
+        if len(high):
+            lead = data[high].astype(np.int64)
+            more = 1 + (lead >= 0xE0) + (lead >= 0xF0)
+            point = lead & (0x7F >> (more + 1))
+            for k in (1, 2, 3):
+                some = more >= k
+                point[some] = point[some] << 6 | (data[high[some] + k] & 0x3F)
+            odd = np.unique(np.searchsorted(rel, high[point >= POINTS], side="right") - 1)
+            own = self.classes[np.minimum(point, POINTS - 1)]
+            kind[high] = own
+            for k in (1, 2, 3):
+                some = more >= k
+                kind[high[some] + k] = own[some]
+        head = np.zeros(n + 1, bool)
+        head[rel] = True
+        new = head[:-1].copy()
+        new[1:] |= kind[1:] != kind[:-1]
+        # a run of white space before a word leaves its last character to stand alone, or a space to lead the word
+        first = np.flatnonzero(new)
+        run = first[kind[first] == WHITE]
+        stop = np.r_[first, n][np.searchsorted(first, run, side="right")]
+        inside = ~head[stop]
+        run, stop = run[inside], stop[inside]
+        last = stop - 1
+        while len(back := np.flatnonzero((data[last] & 0xC0) == 0x80)):
+            last[back] -= 1
+        new[last] = True
+        new[stop[data[last] == 0x20]] = False
+        # an apostrophe that begins a word takes an ending with it
+        for at in np.flatnonzero(new & (data == 0x27)).tolist():
+            end = next((at + 1 + len(e) for e in ENDINGS if data[at + 1 : at + 1 + len(e)].tobytes() == e and not head[at + 1 : at + 1 + len(e)].any()), 0)
+            if end:
+                new[at + 1 : end] = False
+                if end < n:
+                    new[end] = True
+        return np.flatnonzero(new), odd
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct words."""
+        out: list[bytes] = []
+        width = np.dtype(self.kind).itemsize
+        for k in range(0, len(words), TOGETHER * 16):
+            part = words[k : k + TOGETHER * 16]
+            size = np.fromiter(map(len, part), np.int64, len(part))
+            letters = self.letters[np.frombuffer(b" ".join(part), np.uint8)]
+            letters[np.cumsum(size + 1)[:-1] - 1] = 0x20
+            ends = np.cumsum(size + 1)
+            cut = [0, *ends[TOGETHER - 1 : -1 : TOGETHER].tolist(), int(ends[-1])]
+            strings = [letters[s : e - 1].tobytes().decode("utf-32-le") for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.inner.encode_batch_fast(strings, add_special_tokens=False)])
+            place = np.cumsum(self.bytes_of[ids])
+            last = np.searchsorted(place, np.cumsum(size))
+            if last[-1] != len(ids) - 1 or (place[last] != np.cumsum(size)).any():
+                raise ValueError("the library did not keep a word's bytes")
             raw, at = ids.tobytes(), 0
             for n in ((last + 1) * width).tolist():
-                yield raw[at:n]
-                at = n + (0 if lead else len(self.line))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text, equal to the library's for the whole text."""
-        cut = [None if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in ODD) else ("\0" + t).split(" ") for t in texts]
-        if len(self.word) > WORDS:
-            self.word.clear()
-        known, every = self.word, set()
-        for c in cut:
-            if c:
-                every.update(c)
-        new = every - known.keys()
-        lines = {w: ("\n\0".join(w.split("\n"))).split("\n") for w in new if "\n" in w}
-        new.difference_update(lines)
-        for parts in lines.values():
-            new.update(parts)
-        new -= known.keys()
-        behind, first = [w for w in new if w[0] != "\0"], [w for w in new if w[0] == "\0"]
-        known.update(zip(behind, self.learn(behind, " "), strict=True))
-        known.update(zip(first, self.learn([w[1:] for w in first], "\n"), strict=True))
-        get = known.__getitem__
-        known.update({w: self.line.join(map(get, parts)) for w, parts in lines.items()})
-        whole = iter(self.alone([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out = [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
-        for w in lines:  # made of others, and seldom met again
-            del known[w]
+                out.append(raw[at:n])
+                at = n
         return out
 
-
-_loaded: dict[str, Words] = {}
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each row), equal to the library's for each whole row."""
+        rel, data = offsets - offsets[0], raw[offsets[0] : offsets[-1]]
+        rows = len(rel) - 1
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(rows, np.int64)
+        starts, odd = self.cuts(data, rel[:-1][np.diff(rel) > 0])
+        where = np.flatnonzero(np.diff(rel) > 0)
+        whole = set(where[odd].tolist())
+        text = data.tobytes()
+        for t in self.special:
+            at = text.find(t.encode())
+            while at >= 0:
+                whole.add(int(np.searchsorted(rel, at, side="right")) - 1)
+                at = text.find(t.encode(), at + 1)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int32)), pa.py_buffer(text)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        got = list(map(self.known.get, distinct))
+        new = [w for w, g in zip(distinct, got, strict=True) if g is None]
+        if len(self.known) + len(new) > WORDS:
+            self.known.clear()
+        made = dict(zip(new, self.learn(new), strict=True))
+        self.known.update(zip(new[:WORDS], made.values(), strict=False))
+        got = [made[w] if g is None else g for w, g in zip(distinct, got, strict=True)]
+        width = np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, got), np.int64, len(got)) // width
+        lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)]), pa.array(np.frombuffer(b"".join(got), self.kind)))
+        ends, ids = np.cumsum(size[words.indices.to_numpy()]), lists.take(words.indices).flatten().to_numpy()
+        bounds = np.r_[0, ends][np.searchsorted(starts, rel)]
+        sizes = np.diff(bounds)
+        if whole:
+            parts = [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            for k in whole:
+                parts[k] = np.array(self.library.encode(text[rel[k] : rel[k + 1]].decode(), add_special_tokens=False).ids, self.kind)
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, sizes
+
+
+_loaded: dict[str, Coder] = {}
+
+
+def id_kind(path: str) -> type:
+    """The narrowest type that holds every id of a tokenizers file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return np.uint16 if most < 1 << 16 else np.uint32
 
 
 def tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
-            _loaded[path] = Words(path)
+            _loaded[path] = Coder(path)
         own = _loaded[path]
+        width = np.dtype(own.kind).itemsize
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array(own.encode_all(part.column("text").to_pylist()), pa.binary())], ["part", "doc_id", "ids"])
+            raw, offsets = text_buffers(batch.column("text"))
+            for s, e in slices(offsets, BYTES):
+                ids, sizes = own.encode(raw, offsets[s : e + 1])
+                packed = pa.Array.from_buffers(pa.large_binary(), e - s, [None, pa.py_buffer(np.r_[0, np.cumsum(sizes) * width].astype(np.int64)), pa.py_buffer(ids.tobytes())])
+                part = batch.slice(s, e - s)
+                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), packed.cast(pa.binary())], ["part", "doc_id", "ids"])
 
     return run
 
@@ -169,7 +259,7 @@ def write_token_files(docs: DataFrame, path: str) -> DataFrame:
 
     Null and empty texts are the end id alone; rows without doc_id are dropped; rows with one doc_id follow each other; extra columns are ignored."""
     spark = docs.sparkSession
-    kind = np.uint16
+    kind = id_kind(path)
     ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     ids = stored(ordered.mapInArrow(tokenize(path), "part int, doc_id bigint, ids binary"), "ids")
     counts = ids.select("ids").mapInArrow(counted(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most a row for each id of the vocabulary
