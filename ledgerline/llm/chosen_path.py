@@ -251,5 +251,5 @@ def _across(links: DataFrame, wide: DataFrame, compared) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stand for their group of near-duplicates, with all of their columns; of rows with one doc_id one stays."""
     kept = stored(near_duplicates(docs, width, percent).filter("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    out = docs.join(kept, docs["doc_id"].cast("bigint") == F.col("_kept"), "left_semi")
+    out = docs.join(kept, docs["doc_id"].cast("bigint") == kept["_kept"], "left_semi")
     return out if kept.filter("_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import column, texts_of
 
-#: Words of a window; the share of an item's windows that makes a leak, in percent; windows of the benchmark up to which its
-#: table is broadcast (about 20 MB), beyond which the join shuffles.
-WIDTH, PERCENT, BROADCAST_ROWS = 5, 80, 200_000
+#: Words of a window; the share of an item's windows that makes a leak, in percent; words that a shorter item must have to be looked for inside texts; windows
+#: of the benchmark up to which its table is broadcast (about 20 MB); beyond it the join shuffles, and a window's documents are dealt to so many tasks.
+WIDTH, PERCENT, LEAST, BROADCAST_ROWS, SALTS = 5, 80, 3, 200_000, 32
 #: The units, and the letters that stand for a name, a number and a unit (not used in any language's text).
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "a", "j", "kj", "pa", "k", "c", "f", "usd", "eur", "gbp", "percent", "kb", "mb", "gb", "tb")
 NAME, NUMBER, UNIT = "ꟻ", "ꟼ", "ꟽ"
@@ -26,7 +26,7 @@ NAME, NUMBER, UNIT = "ꟻ", "ꟼ", "ꟽ"
 
 def marked(text: Column) -> Column:
     """Words with their marks dropped; a capitalised word inside a sentence is led by NAME."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd}],? )(?=\p{Lu}\p{Ll})", NAME)
+    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd}],? )", NAME)
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(named, r"[^\p{L}\p{Nd}\s]+", ""), r"[\p{Z}\s]+", " ")))
 
 
@@ -37,25 +37,34 @@ def template(words: Column) -> Column:
     return F.when(F.contains(digits, F.lit(NUMBER)), F.regexp_replace(digits, f"(?<={NUMBER} ?)({'|'.join(UNITS)})(?= |$)", UNIT)).otherwise(digits)
 
 
-def windows(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """rows (key, text) -> (key, words, shape, bare, at, id, kind, h): every window of template words, or the whole text if it is shorter.
+def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """rows (keys, text) -> (keys, words, shape, bare, at, kind, h): every window of template words, or the whole text if it is shorter.
 
-    Whether a capitalised word is a name depends on the word before it, so a window's first word stands as it is (kind 0; id is this hash). If it was taken for a name, the window comes once more with its placeholder (kind 1), and with names behind it, once more with all names as words (kind 2), as a copy in other case has them."""
+    Whether a capitalised word is a name depends on the word before it, so a window's first word stands as it is (kind 0). If it was taken for a name, the window comes once more with its placeholder (kind 1), and with names behind it, once more with all names as words (kind 2), as a copy in other case has them.
+    bare, the template with names as words, is null where there are no names and it is the shape."""
+    named = F.contains("plain", F.lit(NAME))
     plain = F.replace("plain", F.lit(NAME), F.lit(""))
-    held = rows.select(key, marked(F.col("text")).alias("plain")).filter("plain <> ''").select(key, F.split(plain, " ").alias("words"), F.split(template(F.col("plain")), " ").alias("shape"), F.split(template(plain), " ").alias("bare"))
+    held = rows.select(*keys, marked(F.col("text")).alias("plain"))
+    held = held.select(*keys, F.split(F.when(named, plain).otherwise(F.col("plain")), " ").alias("words"), F.split(template(F.col("plain")), " ").alias("shape"), F.when(named, F.split(template(plain), " ")).alias("bare"))
     last = F.greatest(F.size("shape") - width, F.lit(0))
-    at = held.select(key, "words", "shape", "bare", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    first, *rest = [F.get("shape", F.col("at") + k) for k in range(width)]
-    at = at.withColumn("id", F.xxhash64(F.get("bare", "at"), *rest))
-    named = reduce(or_, [F.coalesce(x == NAME, F.lit(False)) for x in rest], F.lit(False))
-    kinds = F.array(F.col("id"), F.when(first == NAME, F.xxhash64(first, *rest)), F.when(named, F.xxhash64(*[F.get("bare", F.col("at") + k) for k in range(width)])))
-    return at.select("*", F.posexplode(kinds).alias("kind", "h")).filter("h IS NOT NULL")
+    # no lambdas here, so that windows are made and hashed in generated code; every fourth code is a window of kind 0, and a text without words has none
+    codes = F.when(F.col("bare").isNull(), F.sequence(F.lit(0), last * 4, F.lit(4))).otherwise(F.sequence(F.lit(0), last * 4 + 2))
+    coded = held.select(*keys, "words", "shape", "bare", F.explode(F.when(F.get("words", F.lit(0)) != "", codes)).alias("code"))
+    at = coded.select(*keys, "words", "shape", "bare", F.shiftright("code", 2).alias("at"), F.col("code").bitwiseAND(3).alias("kind"))
+    name = [F.get("shape", F.col("at") + k).eqNullSafe(NAME) for k in range(width)]
+    fine = (F.col("kind") == 0) | ((F.col("kind") == 1) & name[0]) | ((F.col("kind") == 2) & reduce(or_, name[1:], F.lit(False)))
+    return at.filter(fine).withColumn("h", F.xxhash64(*shown(width)))
+
+
+def shown(width: int) -> list[Column]:
+    """The words of a window as its kind shows them."""
+    word = lambda literal, at: F.when(literal, F.get(F.coalesce("bare", "shape"), at)).otherwise(F.get("shape", at))
+    return [word(F.col("kind") != 1, F.col("at"))] + [word(F.col("kind") == 2, F.col("at") + k) for k in range(1, width)]
 
 
 def slots(width: int, places: bool = False) -> Column:
     """The values behind a window's placeholders, in order, or their places in the text."""
-    shapes = [F.when(F.col("kind") == 1, F.get("shape", "at")).otherwise(F.get("bare", "at"))] + [F.when(F.col("kind") == 2, F.get("bare", F.col("at") + k)).otherwise(F.get("shape", F.col("at") + k)) for k in range(1, width)]
-    return F.array_compact(F.array(*[F.when(s != F.get("words", F.col("at") + k), F.col("at") + k if places else F.get("words", F.col("at") + k)) for k, s in enumerate(shapes)]))
+    return F.array_compact(F.array(*[F.when(s != F.get("words", F.col("at") + k), F.col("at") + k if places else F.get("words", F.col("at") + k)) for k, s in enumerate(shown(width))]))
 
 
 def pair(p: Column) -> Column:
@@ -79,15 +88,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: in
     """(doc_id, item_id, n_windows, n_found, share, changed): each document that holds an item, by at least percent of its distinct windows.
 
     changed tells that some placeholder holds another value than in the item; along such an alignment windows with another value of which half or more is placeholders count only beside one that has fewer. Null and empty texts, and texts without letters or digits, hold
-    nothing and leak nothing. An item of fewer words than a window is one window and is found in a document of the same words. Rows without
+    nothing and leak nothing. An item of fewer words than a window is one window of its own width; with LEAST words or more it is found inside texts, with fewer only where it is the whole text. Rows without
     an id are dropped; repeated items are one, repeated documents one row each pair; extra columns are ignored."""
     items = benchmark.select(column(benchmark, "item_id", "bigint").alias("item_id"), column(benchmark, "text", "string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
-    w = windows(items, "item_id", width).select("item_id", "h", "id", F.col("at").alias("item_at"), slots(width).alias("item_slots"), slots(width, True).alias("places")).withColumn("weak", F.size("item_slots") * 2 >= width)
+    every = windows(items, ["item_id"], width)
+    bare = F.coalesce("bare", "shape")
+    first = F.xxhash64(F.get(bare, "at"), *[F.get("shape", F.col("at") + k) for k in range(1, width)])
+    w = every.select("item_id", "h", first.alias("id"), F.col("at").alias("item_at"), slots(width).alias("item_slots"), slots(width, True).alias("places"), F.size("words").alias("size")).withColumn("weak", F.size("item_slots") * 2 >= F.least("size", F.lit(width)))
     n = w.groupBy("item_id").agg(F.countDistinct("id").alias("n_windows"))
-    rows = w.count()
-    own = windows(texts_of(docs), "doc_id", width).drop("id")
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), slots(width).alias("d"), F.col("places").alias("at"))
-    hit = own.join(F.broadcast(w) if rows <= BROADCAST_ROWS else w, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("id", "weak", pairs.alias("pairs")).alias("w"))
+    rows, short = w.count(), [r[0] for r in w.filter((F.col("size") >= LEAST) & (F.col("size") < width)).select("size").distinct().collect()]  # fewer sizes than width
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    own, other, on = (texts_of(docs), F.broadcast(w), ["h"]) if rows <= BROADCAST_ROWS else (texts_of(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), w.select("*", salt), ["h", "salt"])
+    pairs = lambda k: F.arrays_zip(F.col("item_slots").alias("i"), slots(k).alias("d"), F.col("places").alias("at"))
+    hits = [windows(own, ["doc_id", *on[1:]], k).join(other, on).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("id", "weak", pairs(k).alias("pairs")).alias("w")) for k in (width, *short)]
+    hit = reduce(DataFrame.union, hits)
     # along one alignment an item's window comes once of each kind, so a group is bounded by the item
     lined = hit.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("w").alias("ws")).withColumn("pairs", F.array_distinct(F.transform(F.flatten("ws.pairs"), pair)))
     fits = (F.size(F.array_distinct(F.col("pairs.i"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.d"))) == F.size("pairs"))
@@ -101,4 +115,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: in
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
     found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(found, docs["doc_id"].cast("bigint") == F.col("_leaking"), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("bigint") == found["_leaking"], "left_anti")

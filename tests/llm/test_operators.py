@@ -428,6 +428,18 @@ def test_templates_drop_only_windows_that_break_the_mapping(spark):
     assert 0.8 * of <= n < of
 
 
+def test_templates_find_short_items_inside_texts(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "What is two?"), (2, "Yes no"), (3, "Where are 4 pears?")], "item_id bigint, text string")
+    rows = [(1, "So he asked. What is two? Nobody knew it then."), (2, "what is two"), (3, "She said yes no and went on"), (4, "yes, no!"), (5, "And where are 77 pears? Gone, all of them"), (6, "where are two pears then"), (7, "what is"), (7, "what is two")]
+    want = {(1, 1), (2, 1), (4, 2), (5, 3), (7, 1)}
+    for most in (templates.BROADCAST_ROWS, 0):  # beyond the bound the join shuffles, with salted windows
+        monkeypatch.setattr(templates, "BROADCAST_ROWS", most)
+        assert {(r.doc_id, r.item_id) for r in templates.leaks(frame(spark, rows, extra=True), bench).collect()} == want
+    clash = frame(spark, rows).selectExpr("*", "1 AS _leaking", "2 AS _kept", "3 AS item_id", "4 AS h")
+    assert sorted(r.doc_id for r in templates.clean(clash, bench).collect()) == [3, 6]
+    assert chosen_path.keep_one(clash).columns == clash.columns
+
+
 # tool calls ------------------------------------------------------------------------------------------------------------
 
 
