@@ -17,12 +17,11 @@ def nfc(s: pd.Series) -> pd.Series:
 
 
 def fnv1a(ids: Iterable[str]) -> str:
-    """64-bit FNV-1a over ids in the order given, newline between them, as 16 hex digits."""
-    h, first = 0xCBF29CE484222325, True
+    """64-bit FNV-1a over ids in the order given, a newline after each, as 16 hex digits."""
+    h = 0xCBF29CE484222325
     for i in ids:
-        for b in (b"" if first else b"\n") + i.encode():
+        for b in i.encode() + b"\n":
             h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
-        first = False
     return f"{h:016x}"
 
 

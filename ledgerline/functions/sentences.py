@@ -10,21 +10,28 @@ import regex
 CLASSES = {"CR": "P", "LF": "P", "Sep": "P", "Extend": "E", "Format": "E", "Sp": "S", "Lower": "l", "Upper": "u", "OLetter": "o", "Numeric": "n", "ATerm": "A", "STerm": "T", "SContinue": "K", "Close": "C"}
 SHORT, LONG = 20, 300
 _ORDER = [(regex.compile(rf"\p{{Sentence_Break={k}}}"), v) for k, v in CLASSES.items()]
-_known: dict[str, str] = {}
 END = re.compile("[AT]C*S*P?|P")
+LOWER_AHEAD = re.compile("[^oulPAT]*l")
 
 
-def _class(c: str) -> str:
-    if c not in _known:
-        _known[c] = next((v for r, v in _ORDER if r.match(c)), "x")
-    return _known[c]
+class _Classes(dict):
+    """Code point -> class, worked out when it is first met; str.translate reads it."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = found = next((v for r, v in _ORDER if r.match(chr(point))), "x")
+        return found
+
+
+_classes = _Classes()
 
 
 def boundaries(text: str) -> list[int]:
     """Places where a sentence ends, the text's end among them."""
-    kinds = [(k, _class(c)) for k, c in enumerate(text)]
-    place = [k for j, (k, c) in enumerate(kinds) if c != "E" or j == 0 or kinds[j - 1][1] == "P"]
-    line = "".join(kinds[k][1] if kinds[k][1] != "E" else "x" for k in place)
+    line = text.translate(_classes)
+    place: range | list[int] = range(len(text))
+    if "E" in line:
+        kinds, place = line, [k for k, c in enumerate(line) if c != "E" or k == 0 or line[k - 1] == "P"]
+        line = "".join(kinds[k] if kinds[k] != "E" else "x" for k in place)
     out, at = [], 0
     while m := END.search(line, at):
         s, e = m.span()
@@ -39,7 +46,7 @@ def boundaries(text: str) -> list[int]:
             if line[s] == "A":
                 if e == s + 1 and (nxt == "n" or (nxt == "u" and s and line[s - 1] in "ul")):
                     continue
-                if re.match("[^oulPAT]*l", line[e:]):
+                if LOWER_AHEAD.match(line, e):
                     continue
         out.append(place[e] if e < len(line) else len(text))
     if not out or out[-1] != len(text):

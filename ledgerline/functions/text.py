@@ -56,15 +56,16 @@ def hedges(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(h)) & F.regexp_like(low, F.lit(f"(?<!{WORDY}){h}(?!{WORDY})")), F.lit(h)) for h in HEDGES]))
 
 
-def dropped_hedges(episode: Column, span: Column) -> Column:
-    """Hedges of the episode that a span which is not verbatim in it has lost."""
-    return F.when(F.contains(collapse(episode), collapse(span)), F.array().cast("array<string>")).otherwise(F.array_except(hedges(episode), hedges(span)))
+def dropped_hedges(body: Column, marks: Column, span: Column) -> Column:
+    """Hedges (marks) of an episode that a span which is not verbatim in its collapsed text (body) has lost."""
+    return F.when(F.contains(body, collapse(span)), F.array().cast("array<string>")).otherwise(F.array_except(marks, hedges(span)))
 
 
 def content_form(c: Column) -> Column:
     """Lower-case tokens without hedge words (judged without the marks around them)."""
     bare = lambda t: F.regexp_replace(F.lower(t), r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$", "")
-    return F.lower(F.array_join(F.filter(tokens(collapse(c)), lambda t: ~bare(t).isin(*HEDGES)), " "))
+    norm = normalize(c)  # most texts hold no hedge at all, and need no look at their tokens
+    return F.when(F.regexp_like(norm, F.lit("|".join(HEDGES))), F.lower(F.array_join(F.filter(tokens(collapse(c)), lambda t: ~bare(t).isin(*HEDGES)), " "))).otherwise(norm)
 
 
 def grams(norm: Column) -> Column:
@@ -73,9 +74,8 @@ def grams(norm: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(long, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 3), lambda i: F.substring(t, i, F.lit(4))))))
 
 
-def _upper_all(w: Column) -> Column:
-    letters = F.regexp_replace(w, r"[^\p{IsAlphabetic}]", "")
-    return (F.length(letters) >= 2) & F.regexp_like(letters, F.lit(r"^\p{IsUppercase}+$"))
+#: Leading words of two letters or more that are all capitals, whatever marks they hold.
+CAPITALS = r"^(?:[^\p{IsAlphabetic} ]*(?:\p{IsUppercase}[^\p{IsAlphabetic} ]*){2,}(?: |$))+"
 
 
 def _title(w: Column) -> Column:
@@ -88,8 +88,8 @@ def glued_lead(collapsed: Column) -> Column:
     w = tokens(collapsed)
     n = F.size(w)
     opens = lambda run: F.regexp_like(F.get(w, run), F.lit(r"^\p{IsUppercase}")) & F.regexp_like(F.get(w, run - 1), F.lit(f"{WORDY}$"))
-    at = F.array_position(F.transform(w, _upper_all), False)
-    caps = F.when(at == 0, n).otherwise(at - 1).cast("int")
+    run = F.trim(F.regexp_extract(collapsed, CAPITALS, 0))
+    caps = F.when(run == "", 0).otherwise(F.length(run) - F.length(F.replace(run, F.lit(" "), F.lit(""))) + 1)
     two = (n >= 2) & F.coalesce(_title(F.get(w, F.lit(0))) & _title(F.get(w, F.lit(1))), F.lit(False))
     return ((caps >= 2) & ((caps == n) | F.coalesce(opens(caps), F.lit(False)))) | (two & ((n == 2) | F.coalesce(opens(F.lit(2)), F.lit(False))))
 
@@ -99,13 +99,19 @@ def structure_reference(collapsed: Column) -> Column:
     return F.contains(low, F.lit("following chapter")) | F.contains(low, F.lit("next chapter")) | F.regexp_like(low, F.lit(rf"(^| )({'|'.join(STRUCTURE)}) [0-9]"))
 
 
-def shape(text: Column, episode: Column) -> Column:
-    """The first shape rule that a candidate breaks, or null."""
-    c = collapse(text)
+def headings(episode: Column) -> Column:
+    """The heading lines of an episode, without their first mark, collapsed; worked out once an episode."""
     lines = F.filter(F.split(episode, "\r?\n"), lambda x: F.startswith(x, F.lit("#")))
-    heading = F.startswith(c, F.lit("#")) | ((c != "") & F.exists(lines, lambda x: collapse(F.substring(x, 2, 1 << 30)) == c))
-    rest = F.regexp_extract(c, r"^(?:[-*+•]|[0-9]+[.)])(?: (.*))?$", 1)
-    listed = F.regexp_like(c, F.lit(r"^(?:[-*+•]|[0-9]+[.)])(?: .*)?$"))
+    return F.array_distinct(F.transform(lines, lambda x: collapse(F.substring(x, 2, 1 << 30))))
+
+
+def shape(text: Column, heads: Column) -> Column:
+    """The first shape rule that a candidate breaks, or null; heads are the headings() of its episode."""
+    c = collapse(text)
+    heading = F.startswith(c, F.lit("#")) | ((c != "") & F.array_contains(heads, c))
+    marker = r"^(?:[-*+•]|[0-9]+[.)])"  # nothing need follow it: "-next", "3.5 litres"
+    rest = F.ltrim(F.regexp_replace(c, marker, ""))
+    listed = F.regexp_like(c, F.lit(marker))
     idle = (rest == "") | (~F.regexp_like(rest, F.lit("[.!?]")) & (F.size(tokens(rest)) <= 6))
     pipes = F.length(c) - F.length(F.replace(c, F.lit("|"), F.lit(""))) >= 2
     return (

@@ -42,8 +42,8 @@ def judgments(candidates: DataFrame, golden: DataFrame, episodes: DataFrame) ->
     """candidates (pos, episode_id, text, span), golden (pos, episode_id, text, hedges), episodes (id, text).
 
     A candidate meets the first open golden claim of its content form, so each (episode, form) is settled by itself and no larger group is gathered."""
-    known = candidates.join(episodes.select(F.col("id").alias("episode_id"), F.col("text").alias("_episode")), "episode_id", "left")
-    c = known.select("episode_id", content_form(F.col("text")).alias("form"), F.lit(False).alias("golden"), "pos", hedges(F.col("text")).alias("hedges"), F.coalesce(F.contains(collapse(F.col("_episode")), collapse(F.col("span"))), F.lit(False)).alias("contained"), F.col("_episode").isNotNull().alias("known"))
+    known = candidates.join(episodes.select(F.col("id").alias("episode_id"), collapse(F.col("text")).alias("_body")), "episode_id", "left")
+    c = known.select("episode_id", content_form(F.col("text")).alias("form"), F.lit(False).alias("golden"), "pos", hedges(F.col("text")).alias("hedges"), F.coalesce(F.contains("_body", collapse(F.col("span"))), F.lit(False)).alias("contained"), F.col("_body").isNotNull().alias("known"))
     g = golden.select("episode_id", content_form(F.col("text")).alias("form"), F.lit(True).alias("golden"), "pos", "hedges", F.lit(True).alias("contained"), F.lit(True).alias("known"))
     rows = c.union(g).filter("known").repartition("episode_id", "form").sortWithinPartitions("episode_id", "form", F.desc("golden"), "pos")
     return rows.mapInArrow(_greedy, JUDGED).union(c.filter("NOT known").select("pos", "episode_id", F.lit("spurious"), F.lit(None).cast("bigint")))

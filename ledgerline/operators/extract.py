@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import units
-from ..functions.text import blank, collapse, dropped_hedges, shape
+from ..functions.text import blank, collapse, dropped_hedges, headings, hedges, shape
 from ..schema import DENIED_SECTIONS
 
 CANDIDATES = "episode_id string, pos int, text string, span string"
@@ -49,12 +49,14 @@ def denied_section(tags):
 
 def judged(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
     """Candidates with section, shape, and the gate's verdict on those that survive both."""
-    e = episodes.select(F.col("id").alias("episode_id"), F.col("text").alias("episode_text"), "tags", "source_type", "data_cutoff", "locator")
-    c = candidates.join(e, "episode_id").withColumn("section", denied_section(F.col("tags"))).withColumn("shape", shape(F.col("text"), F.col("episode_text")))
-    contained = F.col("span").isNull() | F.contains(collapse(F.col("episode_text")), collapse(F.col("span")))
-    lost = F.size(dropped_hedges(F.col("episode_text"), F.col("span"))) > 0
-    gate = F.when(F.col("span").isNull(), None).when(~contained & lost, "hedge_marker_dropped").when(~contained, "evidence_not_contained")
-    return c.withColumn("gate", F.when(F.col("section").isNull() & F.col("shape").isNull(), gate))
+    # what concerns the whole episode is worked out once, below the join
+    t = F.col("text")
+    e = episodes.select(F.col("id").alias("episode_id"), collapse(t).alias("body"), headings(t).alias("heads"), hedges(t).alias("marks"), "tags", "source_type", "data_cutoff", "locator")
+    c = candidates.join(e, "episode_id").withColumn("section", denied_section(F.col("tags"))).withColumn("shape", shape(F.col("text"), F.col("heads")))
+    contained = F.contains("body", collapse(F.col("span")))
+    lost = F.size(dropped_hedges(F.col("body"), F.col("marks"), F.col("span"))) > 0
+    gate = F.when(F.col("span").isNull() | contained, None).when(lost, "hedge_marker_dropped").otherwise("evidence_not_contained")
+    return c.withColumn("gate", F.when(F.col("section").isNull() & F.col("shape").isNull(), gate)).drop("body", "heads", "marks")
 
 
 def verdicts(judged: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,20 +43,24 @@ def declared_ids(batch: DataFrame) -> DataFrame:
 
 
 def declaration(batch: DataFrame, today: int, verbatim: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(declaration, ids kept verbatim). The digest is defined over all ids in order, so they are streamed to the driver one partition at a time, never gathered."""
-    spark = batch.sparkSession
+    """(declaration, ids kept verbatim). The digest is defined as a fold over all ids in order, so one task streams them from a sort that spills; nothing passes through the driver."""
     ids = declared_ids(batch)
-    count = 0
 
-    def counted():
-        nonlocal count
-        for r in ids.orderBy("stable_id").toLocalIterator():
-            count += 1
-            yield r["stable_id"]
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
+
+        def counted() -> Iterator[str]:
+            nonlocal count
+            for b in batches:
+                count += len(b)
+                yield from b.column("stable_id").to_pylist()
+
+        run = fnv1a(counted())
+        if count:
+            yield pa.RecordBatch.from_pydict({"run_id": [run], "declared_count": [count], "created_at_days": [today]})
 
-    run = fnv1a(counted())
-    d = spark.createDataFrame([(run, count, today)] if count else [], "run_id string, declared_count bigint, created_at_days bigint")
-    return d, ids.orderBy("stable_id").limit(verbatim).select(F.lit(run).alias("run_id"), "stable_id")
+    d = ids.repartition(1).sortWithinPartitions("stable_id").mapInArrow(folded, "run_id string, declared_count bigint, created_at_days bigint")
+    return d, ids.orderBy("stable_id").limit(verbatim).join(F.broadcast(d.select("run_id"))).select("run_id", "stable_id")
 
 
 def delete_outcomes(wanted: DataFrame, episodes: DataFrame, lineage: DataFrame) -> DataFrame:

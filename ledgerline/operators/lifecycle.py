@@ -78,10 +78,10 @@ def evidence_states(claims: DataFrame, lineage: DataFrame, episodes: DataFrame,
     """(claim_key, episode_id, state) by the first lineage row's episode: tombstoned, missing, unknown, or contained."""
     first = lineage.groupBy("claim_key").agg(F.min_by("episode_id", "seq").alias("episode_id"))
     t = tombstones.select("episode_id").distinct().withColumn("dead", F.lit(1))
-    e = episodes.select(F.col("id").alias("episode_id"), F.col("text").alias("episode_text"), "authority_tier")
+    e = episodes.select(F.col("id").alias("episode_id"), collapse(F.col("text")).alias("body"), "authority_tier")
     j = claims.join(first, "claim_key", "left").join(t, "episode_id", "left").join(e, "episode_id", "left")
-    ok = F.coalesce(F.contains(collapse(F.col("episode_text")), collapse(F.col("span"))), F.lit(False))
-    state = F.when(F.col("dead").isNotNull(), "tombstoned").when(F.col("episode_text").isNull() | F.col("span").isNull() | ~ok, "unresolvable").otherwise("resolved")
+    ok = F.coalesce(F.contains("body", collapse(F.col("span"))), F.lit(False))
+    state = F.when(F.col("dead").isNotNull(), "tombstoned").when(F.col("body").isNull() | F.col("span").isNull() | ~ok, "unresolvable").otherwise("resolved")
     return j.select("claim_key", "episode_id", state.alias("state"), F.col("authority_tier").alias("observed_tier"))
 
 

@@ -2,7 +2,8 @@
 
 Each phase is a blocked equi-join of the ranked hits; the order in which pairs are examined is a sort key, and the budget is an ordered
 limit over narrow rows (phase, key, ranks). Only then are texts joined on. Hits are bounded by the walk's budget, and so is what an
-equal group can hold; `class_summary` gives whole-corpus groups without pairs."""
+equal group can hold. Without a budget the `*_classes` functions do the whole corpus: a row for each member of a group, or pairs between
+representatives of distinct texts, so that no group is expanded into all of its pairs and nothing is ranked."""
 
 from __future__ import annotations
 
@@ -51,8 +52,7 @@ def equal_pairs(hits: DataFrame) -> DataFrame:
 def contained_pairs(hits: DataFrame) -> DataFrame:
     """Shorter (a) in strictly longer (b) texts, by bytes; candidates share a's rarest gram. Texts are made distinct first and expanded at the end.
 
-    A text without a gram is compared with every longer one: it has only tokens of up to three characters, so its own first token, as a part of some token or across the texts' spaces,
-    gives no sound key, and the few such texts are the broadcast side of the one nested loop."""
+    A text without a gram is compared with every longer one, as the examination order counts those pairs; hits are bounded by the walk."""
     h = hits.withColumn("norm", normalize(F.col("text"))).select("rank", "claim_key", "norm")
     d = h.groupBy("norm").agg(F.count("*").alias("n")).withColumn("size", F.octet_length("norm"))
     own = d.select("norm", "size", "n", F.explode(grams(F.col("norm"))).alias("gram"))
@@ -100,3 +100,55 @@ def guarded(proposed: DataFrame, reviews: DataFrame, fingerprint: Column) -> Dat
 def class_summary(claims: DataFrame) -> DataFrame:
     """Groups of equal normalised text over all claims: (norm, n, first), without listing pairs."""
     return claims.withColumn("norm", normalize(F.col("text"))).groupBy("norm").agg(F.count("*").alias("n"), F.min("claim_key").alias("first")).filter("n > 1")
+
+
+def equal_classes(hits: DataFrame) -> DataFrame:
+    """(claim_key, first, n): every claim whose normalised text another one has too, with the group's least key and its size."""
+    return hits.select("claim_key", normalize(F.col("text")).alias("norm")).join(class_summary(hits), "norm").select("claim_key", "first", "n")
+
+
+def negation_classes(hits: DataFrame) -> DataFrame:
+    """(claim_key, negated, first): members of groups of equal text but for negations that hold both; each negated member contradicts each plain one."""
+    h = hits.withColumn("norm", normalize(F.col("text"))).select("claim_key", has_negation(F.col("norm")).alias("negated"), stripped(F.col("norm")).alias("strip"))
+    both = h.groupBy("strip").agg(F.min("claim_key").alias("first"), F.max("negated").alias("one"), F.min("negated").alias("all_of")).filter("one AND NOT all_of")
+    return h.join(both.select("strip", "first"), "strip").select("claim_key", "negated", "first")
+
+
+def numeric_classes(hits: DataFrame) -> DataFrame:
+    """(claim_key, place, first, n): texts that differ in the numeral at one place and nowhere else, by the least key of each distinct text; any two of the n texts of a group mismatch."""
+    d = hits.withColumn("norm", normalize(F.col("text"))).groupBy("norm").agg(F.min("claim_key").alias("claim_key")).withColumn("tokens", tokens(F.col("norm")))
+    d = d.select("claim_key", "tokens", F.posexplode("tokens").alias("place", "token")).filter(numeral(F.col("token")))
+    rest = F.concat(F.slice("tokens", 1, F.col("place")), F.array(F.lit("\u0000#\u0000")), F.slice("tokens", F.col("place") + 2, F.size("tokens")))
+    d = d.select("claim_key", "place", F.array_join(rest, " ").alias("rest"))
+    g = d.groupBy("rest", "place").agg(F.min("claim_key").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return d.join(g, ["rest", "place"]).select("claim_key", "place", "first", "n")
+
+
+def _spans(norm: Column, width: int) -> Column:
+    """Distinct windows of characters, spaces included."""
+    spans = [F.slice(F.split(norm, ""), k + 1, F.length(norm) - (width - 1)) for k in range(width)]
+    return F.array_distinct(F.transform(F.arrays_zip(*[s.alias(f"c{k}") for k, s in enumerate(spans)]), lambda z: F.concat(*[z[f"c{k}"] for k in range(width)])))
+
+
+def contained_classes(hits: DataFrame) -> DataFrame:
+    """(from_claim, to_claim): the shorter of two distinct normalised texts, by bytes, and one that it lies in, each by its least key.
+
+    They meet on the shorter one's rarest gram. A text without grams has only tokens of up to three characters: it meets by windows of up to four characters across its
+    spaces, which any text around it has too."""
+    d = hits.withColumn("norm", normalize(F.col("text"))).groupBy("norm").agg(F.min("claim_key").alias("key")).withColumn("size", F.octet_length("norm")).filter("norm <> ''")
+    gram = grams(F.col("norm"))
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        """a and b: (norm, key, size, gram)"""
+        df = b.groupBy("gram").agg(F.count("*").alias("df"))
+        rare = a.join(df, "gram").groupBy("key").agg(F.min(F.struct("df", "gram", "norm", "size")).alias("r")).select(F.col("key").alias("from_claim"), "r.gram", F.col("r.norm").alias("a_norm"), F.col("r.size").alias("a_size"))
+        return rare.join(b, "gram").filter((F.col("size") > F.col("a_size")) & F.contains("norm", F.col("a_norm"))).select("from_claim", F.col("key").alias("to_claim"))
+
+    every = d.select("norm", "key", "size", F.explode(gram).alias("gram"))
+    bare = d.filter(F.size(gram) == 0).withColumn("width", F.least(F.length("norm"), F.lit(4)))
+    out = met(every, every)
+    for (width,) in bare.select("width").distinct().collect():  # 1 to 4
+        part = bare.filter(F.col("width") == width).select("norm", "key", "size", F.explode(_spans(F.col("norm"), width)).alias("gram"))
+        near = d.filter(F.length("norm") >= width).select("norm", "key", "size", F.explode(_spans(F.col("norm"), width)).alias("gram"))
+        out = out.union(met(part, near.join(part.select("gram").distinct(), "gram", "left_semi")))
+    return out

@@ -53,15 +53,16 @@ class Graph:
         return extract.pending(self.episodes, self.events()[2], "v2")
 
     def mixed_hits(self, walk: int | None = None) -> DataFrame:
-        """Ranked hits over the seed claims and then the corpus: all, or as many as a walk's budget allows."""
+        """Hits over the seed claims and then the corpus: all of them, or ranked and as many as a walk's budget allows."""
         s = self.seeds(k.SEED_CLAIMS)
         c = s.select(F.col("k").alias("claim_key"), F.lit(0).cast("bigint").alias("doc_id"), F.col("t").alias("text"), F.lit("staged").alias("status")).union(self.claims.select(F.col("claim_key") + 100, "doc_id", "text", "status"))
         li = s.select((F.col("k") * 2).alias("seq"), F.col("k").alias("claim_key"), F.concat(F.lit("doc-"), (F.col("k") % 3).cast("string")).alias("episode_id")).union(self.lineage.select(F.col("seq") + 200, F.col("claim_key") + 100, "episode_id"))
-        return search.ranked(search.search(c, li, self.episodes, "", budget=walk, as_of=k.AS_OF))
+        found = search.search(c, li, self.episodes, "", budget=walk, as_of=k.AS_OF)
+        return found if walk is None else search.ranked(found)
+
+
 
 
-#: Claims that the budgeted passes walk.
-WALK = 1200
 HITS = ["claim_key", "text", "status", "authority_tier", "cutoff", "stale", "episodes"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,27 +227,27 @@ def revive(g: Graph) -> DataFrame:
 
 @query
 def scan_negation(g: Graph) -> DataFrame:
-    return pairs.budgeted(pairs.scan_pairs(g.mixed_hits()).filter("phase = 1"), None)
+    return pairs.negation_classes(g.mixed_hits())
 
 
 @query
 def scan_numeric(g: Graph) -> DataFrame:
-    return pairs.budgeted(pairs.scan_pairs(g.mixed_hits()).filter("phase = 2"), None)
+    return pairs.numeric_classes(g.mixed_hits())
 
 
 @query
 def scan_budget(g: Graph) -> DataFrame:
-    return pairs.budgeted(pairs.scan_pairs(g.mixed_hits(WALK)), 40)
+    return pairs.budgeted(pairs.scan_pairs(g.mixed_hits(k.WALK)), 40)
 
 
 @query
 def er_equality(g: Graph) -> DataFrame:
-    return pairs.budgeted(pairs.equal_pairs(g.mixed_hits()), None)
+    return pairs.equal_classes(g.mixed_hits())
 
 
 @query
 def er_containment(g: Graph) -> DataFrame:
-    return pairs.budgeted(pairs.contained_pairs(g.mixed_hits()), None)
+    return pairs.contained_classes(g.mixed_hits())
 
 
 def _aliases(g: Graph) -> DataFrame:
@@ -255,12 +256,12 @@ def _aliases(g: Graph) -> DataFrame:
 
 @query
 def er_alias(g: Graph) -> DataFrame:
-    return pairs.budgeted(pairs.alias_pairs(g.mixed_hits(), _aliases(g)), None)
+    return pairs.budgeted(pairs.alias_pairs(g.mixed_hits().withColumn("rank", F.col("claim_key")), _aliases(g)), None)
 
 
 @query
 def er_budget(g: Graph) -> DataFrame:
-    h = g.mixed_hits(WALK)
+    h = g.mixed_hits(k.WALK)
     return pairs.budgeted(pairs.equal_pairs(h).union(pairs.contained_pairs(h)).union(pairs.alias_pairs(h, _aliases(g))), k.PAIR_BUDGET)
 
 
@@ -280,9 +281,9 @@ def hedge_markers(g: Graph) -> DataFrame:
 
 @query
 def shape_filter(g: Graph) -> DataFrame:
-    seeds = g.seeds(k.SEED_SHAPES).select((-F.col("k") - 1).alias("k"), F.col("t").alias("text"), F.lit(k.SEED_EPISODE).alias("episode"))
-    rows = seeds.union(g.claims.join(g.docs.select("doc_id", F.col("text").alias("episode")), "doc_id").select("claim_key", "text", "episode"))
-    return rows.select("k", tx.shape(F.col("text"), F.col("episode")).alias("shape"))
+    seeds = g.seeds(k.SEED_SHAPES).select((-F.col("k") - 1).alias("k"), F.col("t").alias("text"), tx.headings(F.lit(k.SEED_EPISODE)).alias("heads"))
+    rows = seeds.union(g.claims.join(g.docs.select("doc_id", tx.headings(F.col("text")).alias("heads")), "doc_id").select("claim_key", "text", "heads"))
+    return rows.select("k", tx.shape(F.col("text"), F.col("heads")).alias("shape"))
 
 
 @query

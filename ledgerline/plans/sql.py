@@ -68,7 +68,7 @@ SEED_CLAIMS = [
 ]
 SEED_SHAPES = [
     "Is it up?", 'He asked "why?" and left.', "# Setup", "Setup", "CASH FLOW The firm pays", "Cash Flow", "Home > Docs", "a | b | c", "- next steps", "1. The cache holds entries.", "See chapter 3 for details.", "the following chapter is short",
-    "Plain sentence that stays here.", "* item", "2) go", "NASA ESA. The", "Cash Flow The firm", "Profits may vary", "maybe not", "may_be so", "It COULD seem; estimates vary", "12.5 percent reportedly rose", "",
+    "Plain sentence that stays here.", "* item", "2) go", "3.5 litres of fuel", "-next steps", "12) go on with it now or then", "+ One. Two", "7 pears", "•", "NASA ESA. The", "Cash Flow The firm", "Profits may vary", "maybe not", "may_be so", "It COULD seem; estimates vary", "12.5 percent reportedly rose", "",
 ]
 ALIASES = [("bob", "robert"), ("alpha", "audit"), ("the", "service")]
 
@@ -82,7 +82,8 @@ MIXED = f"""{BASE},
 {values(SEED_CLAIMS, 'sd')},
 cm AS (SELECT k AS claim_key, CAST(0 AS BIGINT) AS doc_id, t AS text, 'staged' AS status FROM sd UNION ALL SELECT claim_key + 100, doc_id, text, status FROM cs),
 lm AS (SELECT k * 2 AS seq, k AS claim_key, 'doc-' || (k % 3) AS episode_id FROM sd UNION ALL SELECT seq + 200, claim_key + 100, episode_id FROM li)"""
-PAIR_BUDGET = 1500
+#: Pairs and claims that the budgeted passes examine and walk.
+PAIR_BUDGET, WALK = 1500, 1200
 MARK = "'<#>'"
 NORMED = f"""nm AS (SELECT *, {norm('text')} AS norm FROM rk),
 nt AS (SELECT *, {toks('norm')} AS tk FROM nm),
@@ -123,12 +124,15 @@ ph AS (SELECT *, row_number() OVER (PARTITION BY least(from_claim, to_claim), gr
 SELECT from_claim, to_claim, rule, refused FROM ph WHERE r = 1"""
 
 
-def pass_sql(parts: list[str], budget: int | None, walk: int = 1200) -> str:
+def pass_sql(parts: list[str], budget: int | None, walk: int | None = None) -> str:
     need = {"neg": [groups("strip", "gs"), NEG], "num": [groups("mask", "gm"), NUM], "eq": [groups("norm", "gn"), EQ], "co": [CONT], "aq": [ALIAS]}
     made = ",\n".join(x for p in parts for x in need[p])
     return f"WITH {MIXED},\n{hits('cm', 'lm', '', walk)},\n{NORMED},\n{made},\n{proposed(parts, budget)}"
 
 
+WHOLE = f"WITH {MIXED},\n{hits('cm', 'lm', '', None)},\n{NORMED}"
+
+
 def shape(text: str, episode: str) -> str:
     c = collapse(text)
     w = toks("c")
@@ -141,7 +145,7 @@ s2 AS (SELECT *, {w} AS w FROM s1),
 s3 AS (SELECT *, coalesce(list_position({caps}, false) - 1, len(w)) AS cr, {title} AS ti FROM s2),
 s4 AS (SELECT *, (cr >= 2 AND (cr = len(w) OR {opens('cr')})) OR (len(w) >= 2 AND ti[1] AND ti[2] AND (len(w) = 2 OR {opens('2')})) AS glued,
   starts_with(c, '#') OR (c <> '' AND len(list_filter(regexp_split_to_array({episode}, '\\r?\\n'), lambda l: starts_with(l, '#') AND {collapse('l[2:]')} = c)) > 0) AS heading,
-  regexp_full_match(c, '(?:[-*+•]|[0-9]+[.)])(?: .*)?') AS listed, regexp_extract(c, '^(?:[-*+•]|[0-9]+[.)])(?: (.*))?$', 1) AS rest FROM s3),
+  CASE WHEN c[1] IN ('-', '*', '+', '•') THEN ltrim(c[2:]) WHEN len(nums) > 0 AND c[len(nums) + 1] IN ('.', ')') THEN ltrim(c[len(nums) + 2:]) END AS rest, rest IS NOT NULL AS listed FROM (SELECT *, left(c, length(c) - length(ltrim(c, '0123456789'))) AS nums FROM s3)),
 sh AS (SELECT *, CASE WHEN ends_with(c, '?') THEN 'interrogative_final' WHEN heading OR glued THEN 'heading_fragment'
   WHEN contains(c, ' > ') OR length(c) - length(replace(c, '|', '')) >= 2 OR (listed AND (rest = '' OR (NOT regexp_matches(rest, '[.!?]') AND len({toks('rest')}) <= 6)))
     OR contains(lower(c), 'following chapter') OR contains(lower(c), 'next chapter') OR regexp_matches(lower(c), '(^| )(part|parts|chapter|chapters|section|sections|appendix|appendices) [0-9]') THEN 'nav_boilerplate' END AS shape FROM s4)"""
@@ -165,7 +169,7 @@ SQL: dict[str, str] = {
     "nfc_ids": "SELECT doc_id, nfc_normalize('e' || chr(769) || '-' || doc_id) AS id FROM documents",
     "blank_classify": f"SELECT doc_id, CASE WHEN regexp_full_match(i, '{WS}*') THEN 'missing_id' WHEN regexp_full_match(t, '{WS}*') THEN 'missing_text' WHEN s = '' THEN 'missing_metadata' ELSE 'ok' END AS verdict FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN ' ' || chr(160) ELSE 'x' END AS i, CASE WHEN doc_id % 5 = 1 THEN chr(9) || chr(10) || chr(8195) ELSE text END AS t, CASE WHEN doc_id % 3 = 1 THEN '' ELSE source END AS s FROM documents)",
     "dates": f"SELECT doc_id, CAST({days('d')} AS INTEGER) AS days, {iso(days('d'))} AS iso FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'May 2026' WHEN doc_id % 9 = 1 THEN NULL ELSE CAST(2000 + doc_id % 40 AS VARCHAR) || '-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') END AS d FROM documents)",
-    "slugs": f"SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace({norm('text[1:80]')}, '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)",
+    "slugs": f"SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace({norm('text')}, '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)",
     "episodes": f"WITH {EP} SELECT id, text, loc_kind, loc_value, source_type, data_cutoff, authority_tier, array_to_string(tags, ',') AS tags FROM ep",
     "claims": f"WITH {CL} SELECT claim_key, doc_id, pos, text, status FROM cs",
     "lineage": f"WITH {CL},\n{LI} SELECT seq, claim_key, episode_id, extractor_version FROM li",
@@ -183,15 +187,19 @@ jo AS (SELECT b.*, t.episode_id IS NOT NULL AS dead, s.id IS NOT NULL AS held, (
 rs AS (SELECT *, CASE WHEN nth > 1 THEN 'duplicate' WHEN regexp_full_match(id, '{WS}*') THEN 'missing_id' WHEN regexp_full_match(text, '{WS}*') THEN 'missing_text' WHEN source_type = '' THEN 'missing_metadata' WHEN dead THEN 'deleted_id' WHEN held AND NOT same THEN 'conflict' END AS reason FROM jo)
 SELECT pos, id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN held THEN 'already_persisted' ELSE 'persisted' END AS outcome, reason FROM rs""",
     "declared_ids": f"WITH {EP}, {BATCH} SELECT DISTINCT id AS stable_id FROM ba WHERE trim(id) <> ''",
+    "coverage_digest": f"""WITH {EP}, {BATCH}, di AS (SELECT DISTINCT id FROM ba WHERE trim(id) <> ''), al AS (SELECT count(*) AS n, string_agg(id || chr(10), '' ORDER BY id) AS line FROM di)
+SELECT printf('%016x', CAST(list_reduce(list_transform(string_split(line, ''), lambda c: CAST(ascii(c) AS HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) AS UBIGINT)) AS run_id, n AS declared_count, CAST(20088 AS BIGINT) AS created_at_days FROM al WHERE n > 0""",
     "delete_guard": f"WITH {BASE}, wa AS (SELECT 'doc-' || (doc_id + 3) AS id FROM documents) SELECT wa.id, CASE WHEN e.id IS NULL THEN 'episode_not_found' WHEN EXISTS (SELECT 1 FROM li WHERE li.episode_id = wa.id AND li.claim_key % 2 = 0) THEN 'delete_refused' ELSE 'deleted' END AS outcome FROM wa LEFT JOIN ep e ON e.id = wa.id",
     "revive": f"WITH {EP}, {BATCH} SELECT id, CASE WHEN id IN (SELECT episode_id FROM tb) THEN 'revived' ELSE 'revive_refused' END AS outcome FROM ep",
-    "scan_negation": pass_sql(["neg"], None),
-    "scan_numeric": pass_sql(["num"], None),
-    "scan_budget": pass_sql(["neg", "num"], 40),
-    "er_equality": pass_sql(["eq"], None),
-    "er_containment": pass_sql(["co"], None),
+    "scan_negation": f"{WHOLE} SELECT claim_key, neg AS negated, first FROM (SELECT *, min(claim_key) OVER w AS first, bool_or(neg) OVER w AS one, bool_and(neg) OVER w AS all_of FROM nf WINDOW w AS (PARTITION BY strip)) WHERE one AND NOT all_of",
+    "scan_numeric": f"""{WHOLE}, dt AS (SELECT min(claim_key) AS claim_key, any_value(tk) AS tk FROM nf GROUP BY norm), pl AS (SELECT *, unnest(range(1, len(tk) + 1)) AS i FROM dt),
+mk AS (SELECT claim_key, CAST(i - 1 AS INTEGER) AS place, list_transform(tk, lambda t, j: CASE WHEN j = i THEN NULL ELSE t END) AS rest FROM pl WHERE regexp_full_match(tk[i], '[0-9]+([.][0-9]+)?'))
+SELECT claim_key, place, min(claim_key) OVER w AS first, count(*) OVER w AS n FROM mk WINDOW w AS (PARTITION BY place, rest) QUALIFY count(*) OVER w > 1""",
+    "scan_budget": pass_sql(["neg", "num"], 40, WALK),
+    "er_equality": f"{WHOLE} SELECT claim_key, min(claim_key) OVER w AS first, count(*) OVER w AS n FROM nf WINDOW w AS (PARTITION BY norm) QUALIFY count(*) OVER w > 1",
+    "er_containment": f"{WHOLE},\n{CONT}, ky AS (SELECT norm, min(claim_key) AS key FROM nf GROUP BY norm) SELECT a.key AS from_claim, b.key AS to_claim FROM (SELECT DISTINCT an, bn FROM ca WHERE contains(bn, an)) JOIN ky a ON a.norm = an JOIN ky b ON b.norm = bn",
     "er_alias": pass_sql(["aq"], None),
-    "er_budget": pass_sql(["eq", "co", "aq"], PAIR_BUDGET),
+    "er_budget": pass_sql(["eq", "co", "aq"], PAIR_BUDGET, WALK),
     "er_classes": f"WITH {CL} SELECT {norm('text')} AS norm, count(*) AS n, min(claim_key) AS first FROM cs GROUP BY 1 HAVING count(*) > 1",
     "contradictions_read": f"WITH {BASE}, ed AS (SELECT claim_key AS seq, claim_key AS from_claim, claim_key + 2 AS to_claim, CASE WHEN claim_key % 3 = 0 THEN 'contradicts' ELSE 'mentions' END AS label FROM cs), qk AS (SELECT unnest([3, 4, 9, 15, 300, 301, 302]) AS k), sd AS (SELECT c.claim_key, c.text, c.status, string_agg(l.episode_id, ',' ORDER BY l.seq) AS episodes FROM cs c JOIN li l USING (claim_key) JOIN ep e ON e.id = l.episode_id GROUP BY ALL), w AS (SELECT * FROM ed ORDER BY seq LIMIT 400) SELECT w.from_claim, w.to_claim, f.text AS from_text, t.text AS to_text, f.status AS from_status, t.status AS to_status, f.episodes AS from_episodes, t.episodes AS to_episodes FROM w JOIN sd f ON f.claim_key = w.from_claim JOIN sd t ON t.claim_key = w.to_claim WHERE label = 'contradicts' AND (from_claim IN (SELECT k FROM qk) OR to_claim IN (SELECT k FROM qk))",
     "contradictions_staged": f"WITH {BASE}, {EVENTS}, sd AS (SELECT c.claim_key, c.text, c.status, string_agg(l.episode_id, ',' ORDER BY l.seq) AS episodes FROM cs c JOIN li l USING (claim_key) JOIN ep e ON e.id = l.episode_id GROUP BY ALL), w AS (SELECT * FROM iv ORDER BY seq LIMIT 390) SELECT claim_key, text, status, episodes, causing_episode_id FROM w JOIN sd USING (claim_key) WHERE claim_key IN (3, 17, 31, 45, 300)",

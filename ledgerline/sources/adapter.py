@@ -34,8 +34,11 @@ def episodes(docs: DataFrame) -> DataFrame:
 
 
 def running_before(narrow: DataFrame, key: str, n: str) -> DataFrame:
-    """narrow with `before`: the sum of n over smaller keys. Ranges of keys are summed apart, and their totals (a row a range) together."""
-    ranged = narrow.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    """narrow with `before`: the sum of n over smaller keys. Ranges of keys are summed apart, and their totals (a row a range) together.
+
+    The number of ranges is given, so that no adaptive plan joins ranges differently for the totals and for the rows."""
+    parts = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = narrow.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
     totals = ranged.groupBy("_part").agg(F.sum(n).alias("_sum"))
     ahead = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     inner = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -47,7 +50,7 @@ def claims(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: ~blank(x))
     own = docs.select("doc_id", lines.alias("lines"))
     first = running_before(own.select("doc_id", F.size("lines").alias("n")), "doc_id", "n").select("doc_id", "before")
-    c = own.join(first, "doc_id").select("doc_id", "before", F.posexplode("lines").alias("pos", "text"))
+    c = own.join(first.hint("merge"), "doc_id").select("doc_id", "before", F.posexplode("lines").alias("pos", "text"))
     key = (F.col("before") + F.col("pos")).cast("bigint")
     status = F.when(key % 10 == 0, "rejected").when((key % 10).between(1, 3), "active").otherwise("staged")
     return c.select(key.alias("claim_key"), "doc_id", "pos", "text", status.alias("status"))

@@ -1,7 +1,10 @@
 """Queries of the catalog over the whole of their tables."""
 
+import random
+
 import pytest
 
+from ledgerline.operators import pairs
 from ledgerline.plans.catalog import QUERIES
 
 
@@ -22,5 +25,26 @@ def test_slugs_take_whole_texts(spark, folder):
 
 
 def test_passes_without_a_budget_reach_the_last_claims(spark, folder):
-    rules = {q: {(r.from_claim, r.to_claim) for r in QUERIES[q](spark, folder[0]).collect() if r.from_claim >= 1900} for q in ("scan_negation", "scan_numeric", "er_equality")}
-    assert rules == {"scan_negation": {(1900, 1901)}, "scan_numeric": {(1902, 1903), (1902, 1904)}, "er_equality": {(1903, 1904)}}
+    rules = {q: {(r.claim_key, r.first) for r in QUERIES[q](spark, folder[0]).collect() if r.first >= 1900} for q in ("scan_negation", "scan_numeric", "er_equality")}
+    assert rules == {"scan_negation": {(1900, 1900), (1901, 1900)}, "scan_numeric": {(1902, 1902), (1903, 1902)}, "er_equality": {(1903, 1903), (1904, 1903)}}
+
+
+def test_classes_equal_brute_force(spark):
+    rng = random.Random(7)
+    pool = ["is", "a", "no", "up", "not", "3", "4.5", "60", "limit", "holds", "preaudits", "audit", "of", "it", "ab"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 6))) for _ in range(400)] + ["", "a", "ab", "é up", "x é up y", "is no longer a", "s no l"]
+    hits = spark.createDataFrame(list(enumerate(texts)), "claim_key bigint, text string")
+    least = {}
+    for k, t in enumerate(texts):
+        least.setdefault(t, k)
+    by = lambda f: {x: [k for k, t in enumerate(texts) if f(t) == x] for x in {f(t) for t in texts}}
+    assert {tuple(r) for r in pairs.equal_classes(hits).collect()} == {(k, min(m), len(m)) for m in by(lambda t: t).values() if len(m) > 1 for k in m}
+    negs, strip = {"not", "no", "never"}, lambda t: " ".join(w for w in t.split() if w not in {"not", "no", "never"})
+    neg = lambda k: bool(negs & set(texts[k].split()))
+    assert {tuple(r) for r in pairs.negation_classes(hits).collect()} == {(k, neg(k), min(m)) for m in by(strip).values() if len({neg(k) for k in m}) == 2 for k in m}
+    apart = lambda a, b: [i for i, (x, y) in enumerate(zip(a.split(), b.split(), strict=True)) if x != y] if len(a.split()) == len(b.split()) else []
+    number = lambda w: w.replace(".", "", 1).isdigit()
+    rows = pairs.numeric_classes(hits).collect()
+    met = {frozenset((a.claim_key, b.claim_key)) for a in rows for b in rows if a.claim_key < b.claim_key and (a.first, a.place) == (b.first, b.place)}
+    assert met == {frozenset((least[a], least[b])) for a in least for b in least if a < b and len(d := apart(a, b)) == 1 and number(a.split()[d[0]]) and number(b.split()[d[0]])}
+    assert {tuple(r) for r in pairs.contained_classes(hits).collect()} == {(least[a], least[b]) for a in least for b in least if a and a != b and len(a.encode()) < len(b.encode()) and a in b}

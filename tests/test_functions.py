@@ -18,16 +18,19 @@ def one(spark, expr, **cols):
         ("Is it up?", "interrogative_final"), ('He asked "why?" and left.', None), ("# Setup", "heading_fragment"), ("Setup", "heading_fragment"), ("Other", None),
         ("CASH FLOW The firm pays", "heading_fragment"), ("Cash Flow", "heading_fragment"), ("Home > Docs", "nav_boilerplate"), ("a | b | c", "nav_boilerplate"), ("- next steps", "nav_boilerplate"),
         ("1. The cache holds entries.", None), ("See chapter 3 for details.", "nav_boilerplate"), ("The following chapter", "nav_boilerplate"), ("CASH", None), ("The Firm pays", None), ("", None),
+        ("3.5 litres of fuel", "nav_boilerplate"), ("-next steps", "nav_boilerplate"), ("12)go", "nav_boilerplate"), ("•", "nav_boilerplate"), ("+ One. Two", None), ("7 pears", None), ("2) one two three four five six seven", None),
+        ("U.S.A N.A.S.A The firm pays", "heading_fragment"), ("A1 B2 the firm", None),
     ],
 )
 def test_shapes(spark, candidate, want):
-    assert one(spark, text.shape(F.col("t"), F.col("e")), t=candidate, e=SEED_EPISODE) == want
+    assert one(spark, text.shape(F.col("t"), text.headings(F.col("e"))), t=candidate, e=SEED_EPISODE) == want
 
 
 def test_hedges_stand_free(spark):
     assert one(spark, text.hedges(F.col("t")), t="It MAY_be; maybe not, could Seem. Estimates!") == ["may", "could", "estimates"]
-    assert one(spark, text.dropped_hedges(F.col("e"), F.col("s")), e="Profits may vary", s="Profits vary") == ["may"]
-    assert one(spark, text.dropped_hedges(F.col("e"), F.col("s")), e="Profits  may vary now", s="Profits may vary") == []
+    lost = text.dropped_hedges(text.collapse(F.col("e")), text.hedges(F.col("e")), F.col("s"))
+    assert one(spark, lost, e="Profits may vary", s="Profits vary") == ["may"]
+    assert one(spark, lost, e="Profits  may vary now", s="Profits may vary") == []
 
 
 def test_forms(spark):
@@ -52,7 +55,7 @@ def test_dates(spark):
 def test_python_functions(spark):
     df = spark.createDataFrame([("é",), ("abc",), (None,)], "s string")
     assert [r[0] for r in df.select(python.nfc("s")).collect()] == ["é", "abc", None]
-    assert python.fnv1a([]) == "cbf29ce484222325" and python.fnv1a(["a"]) == "af63dc4c8601ec8c" and python.fnv1a(["a", "b"]) != python.fnv1a(["ab"])
+    assert python.fnv1a([]) == "cbf29ce484222325" and python.fnv1a(["a", "b"]) == "78ed6781f136a14e" and python.fnv1a(["a", "b"]) != python.fnv1a(["ab"])  # over the bytes 97, 10, 98, 10
     assert python.strip_json_fence('```json\n{"a": 1}\n```') == '{"a": 1}'
     assert "".join(python.llm_chunks("abcdefg", 514, list, "".join)) == "abcdefg"
     assert [python.backoff_seconds(n) for n in (1, 2, 9)] == [2.0, 4.0, 60.0]
