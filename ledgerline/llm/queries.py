@@ -92,8 +92,8 @@ SELECT c.conv_id, c.call_id, c.turn, c.name, r.turn AS result_turn,
                       CASE WHEN c.name IN ('user', 'system') AND c.text IS NULL THEN 'missing:text' END,
                       CASE WHEN c.name = 'system' THEN 'unknown:turn' END) AS faults,
        c.name = 'user' AND c.text IS NOT NULL AS valid,
-       '{"arguments":{"text":' || CASE WHEN c.text IS NULL THEN 'null' WHEN regexp_full_match(c.text, '(0|-?[1-9][0-9]{0,17})') THEN c.text ELSE CAST(to_json(c.text) AS VARCHAR) END
-         || ',"turn":' || c.turn || '},"id":' || CAST(to_json(c.call_id) AS VARCHAR) || ',"name":' || CAST(to_json(c.name) AS VARCHAR)
+       '{"arguments":{"text":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null')
+         || ',"turn":' || CASE WHEN c.name = 'user' THEN CAST(c.turn AS VARCHAR) ELSE '"' || c.turn || '"' END || '},"id":' || CAST(to_json(c.call_id) AS VARCHAR) || ',"name":' || CAST(to_json(c.name) AS VARCHAR)
          || ',"result":' || CASE WHEN r.content IS NULL THEN 'null' ELSE CAST(to_json(r.content) AS VARCHAR) END || '}' AS json
 FROM c LEFT JOIN r ON c.call_id = r.call_id LEFT JOIN c AS z ON z.conv_id = c.conv_id AND z.turn = 0 AND z.call_id <> c.call_id""",
 }

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .common import texts_of
@@ -28,9 +31,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORD = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
 KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
-#: Encoded runs.
-PERCENT = re.compile(r"(?:[^\s%]*%[0-9A-Fa-f]{2})+[^\s%]*")
-ESCAPED = re.compile(r"(?:[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+[^\s\\]*")
+#: Encoded runs: escapes and whatever stands beside them without a space. No character can begin two of the choices, so a run is read once; one without an escape is passed over.
+PERCENT, PERCENT_RUN = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"(?:[^\s%]+|%[0-9A-Fa-f]{2})+")
+ESCAPED, ESCAPED_RUN = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})"), re.compile(r"(?:[^\s\\]+|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines (a line end may stand as an escape): all lines but the last have 16 characters or more.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
@@ -151,13 +154,37 @@ def _unescape(layer: Layer, m: re.Match) -> Layer | None:
     return Layer(text, origin)
 
 
+#: Fixed by the formats: how bzip2, xz and Zstandard data begin.
+OPENERS = ((b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\0", lzma.LZMADecompressor), (b"\x28\xb5\x2f\xfd", None))
+
+
 def _compressed(raw: bytes) -> bool:
-    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 < 8 and (raw[0] * 256 + raw[1]) % 31 == 0)
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 < 8 and (raw[0] * 256 + raw[1]) % 31 == 0) or any(raw.startswith(m) for m, _ in OPENERS)
 
 
 def _inflated(raw: bytes) -> Iterator[bytes]:
-    """The content of gzip (every member) or zlib data as far as it can be read, in parts."""
+    """The content of gzip (every member), zlib, bzip2, xz or Zstandard data as far as it can be read, in parts."""
     while _compressed(raw):
+        own = next((d for m, d in OPENERS if raw.startswith(m)), zlib)
+        try:
+            if own is None:
+                with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw, read_across_frames=True) as r:
+                    while part := r.read(OVERLAP):
+                        yield part
+                return
+            if own is not zlib:
+                d = own()
+                while not d.eof:
+                    part = d.decompress(raw, OVERLAP)
+                    raw = b""
+                    if not part and not d.eof:
+                        return
+                    if part:
+                        yield part
+                raw = d.unused_data
+                continue
+        except (OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            return
         d = zlib.decompressobj(47)
         while not d.eof:
             try:
@@ -236,10 +263,10 @@ def _unwrapped(layer: Layer, m: re.Match) -> Iterator[tuple[Layer, bool]]:
 def _opened(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     """The layers of all encoded runs of a layer, each with whether it was cut."""
     t = layer.text
-    if "%" in t:
-        yield from ((_unpercent(layer, m), False) for m in PERCENT.finditer(t))
-    if "\\u" in t or "\\x" in t:
-        yield from ((_unescape(layer, m), False) for m in ESCAPED.finditer(t))
+    if "%" in t and PERCENT.search(t):
+        yield from ((_unpercent(layer, m), False) for m in PERCENT_RUN.finditer(t) if "%" in m.group())
+    if ("\\u" in t or "\\x" in t) and ESCAPED.search(t):
+        yield from ((_unescape(layer, m), False) for m in ESCAPED_RUN.finditer(t) if "\\" in m.group())
     for m in BASE64.finditer(t):
         for k in (0, *_behind_escape(t, m)):
             yield from _unbase64(layer, m.group()[k:].rstrip("="), range(m.start() + k, m.end()))

@@ -176,6 +176,43 @@ def test_secret_layers_are_whole(monkeypatch):
     assert len(every) == 1 and not cut
 
 
+def test_secrets_in_random_nestings_are_found_and_redacted():
+    """Independent of the scanner: what was wrapped is known, so any span must lie in the wrapped run and cover it for opaque layers."""
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    from urllib.parse import quote
+
+    import zstandard
+
+    rng = random.Random(21)
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    wraps = [lambda t: b64(t.encode()), lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zlib.compress(t.encode())), lambda t: b64(bz2.compress(t.encode())), lambda t: b64(lzma.compress(t.encode())), lambda t: b64(zstandard.ZstdCompressor().compress(t.encode())), lambda t: "".join(f"%{b:02X}" for b in t.encode()), lambda t: quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t)]
+    for _ in range(400):
+        secret = f"password={rng.randrange(10**9, 10**10)}xyz"
+        run = secret
+        for _ in range(rng.randrange(1, 5)):
+            run = rng.choice(wraps)(run)
+            if len(run) > 20_000:
+                break
+        text = f"{words(rng, 5)} é {run} {words(rng, 5)} {run} end"
+        places = [text.index(run), text.rindex(run)]
+        spans = [(s, e) for s, e, k in secrets.scan(text)[1] if k == 0]
+        assert all(any(p <= s and e <= p + len(run) for s, e in spans) for p in places), (run[:80], spans)
+        clean = secrets.redacted(text)
+        assert run not in clean and secret not in clean and not [k for *_, k in secrets.scan(clean)[1] if k == 0]
+
+
+def test_secret_scans_of_long_texts_without_spaces_are_linear():
+    import time
+
+    for text in ("x" * 500_000 + "%" + "y" * 500_000, "é" * 700_000 + "\\u" + "z" * 300_000, "%" * 1_000_000, "a%4" * 300_000, "\\" * 700_000, "QUFB" * 250_000, "ab-cd/" * 170_000 + "\n" + "=" * 1000):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 10, text[:12]
+
+
 def test_secret_base_kinds():
     text = 'Password: "abc" token=abcdef api_key : AKIA' + "Q" * 20 + " " + "0a" * 12 + " " + "0a" * 11
     base = secrets.base_spans(text)
@@ -447,17 +484,50 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     import json
 
     calls = spark.createDataFrame(
-        [("a", 1, 0, "get", {"q": 'x "y"\n\u0001', "n": "3"}, []), ("b", 1, 1, "get", {"n": "03", "z": "1"}, ["a"]), ("c", 1, 2, "get", {"q": "1", "n": "1"}, ["b", "a", "zz"]), ("d", 1, 3, "put", None, ["e"]), ("e", 1, 4, "get", {"q": None}, ["d"]), ("a", 1, 9, "get", {}, [])],
+        [("a", 1, 0, "get", {"q": 'x "y"\n\u0001', "n": "3"}, []), ("b", 1, 1, "get", {"n": "03", "z": "1"}, ["a"]), ("c", 1, 2, "get", {"q": "42", "n": "1"}, ["b", "a", "zz"]), ("d", 1, 3, "put", None, ["e"]), ("e", 1, 4, "get", {"q": None}, ["d"]), ("a", 1, 9, "get", {}, []), ("a", 2, 0, "get", {"q": "other"}, ["b"]), ("a", None, 0, "get", {}, [])],
         "call_id string, conv_id bigint, turn bigint, name string, arguments map<string,string>, after array<string>",
-    )
-    results = spark.createDataFrame([("a", 5, "ok"), ("a", 6, "later"), ("q", 1, "nobody")], "call_id string, turn bigint, content string")
+    ).selectExpr("*", "1 AS level", "'x' AS content", "2 AS fields")
+    results = spark.createDataFrame([(1, "a", 5, "ok"), (1, "a", 6, "later"), (1, "q", 1, "nobody"), (2, "a", 3, "two")], "conv_id bigint, call_id string, turn bigint, content string")
     schemas = spark.sql("SELECT 'get' AS name, array(named_struct('name','q','kind','string','required',true), named_struct('name','n','kind','integer','required',false)) AS fields")
-    got = {r.call_id: r for r in tool_calls.linked(calls, results, schemas).collect()}
-    assert {k: r.level for k, r in got.items()} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None}
-    assert {k: r.faults for k, r in got.items()} == {"a": "", "b": "missing:q,type:n,unknown:z", "c": "", "d": "schema:put", "e": "missing:q"}
-    assert got["a"].result_turn == 5 and got["b"].result_turn is None
+    got = {(r.conv_id, r.call_id): r for r in tool_calls.linked(calls, results, schemas).collect()}
+    assert {k: r.level for k, r in got.items()} == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): None, (1, "e"): None, (2, "a"): 0}
+    assert {k: r.faults for k, r in got.items()} == {(1, "a"): "", (1, "b"): "missing:q,type:n,unknown:z", (1, "c"): "", (1, "d"): "schema:put", (1, "e"): "missing:q", (2, "a"): ""}
+    assert got[1, "a"].result_turn == 5 and got[1, "b"].result_turn is None and got[2, "a"].result_turn == 3
     want = {"arguments": {"n": 3, "q": 'x "y"\n\u0001'}, "id": "a", "name": "get", "result": "ok"}
-    assert got["a"].json == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "hi"), (1, 1, "assistant", "hi"), (None, 1, "user", "x"), (2, 3, "system", "s")], "conv_id bigint, turn bigint, role string, text string")
+    assert got[1, "a"].json == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert json.loads(got[1, "c"].json)["arguments"] == {"n": 1, "q": "42"}  # a string that spells a number stays a string
+    turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "hi"), (1, 1, "assistant", "hi"), (None, 1, "user", "x"), (2, 3, "system", "s" * 100_000)], "conv_id bigint, turn bigint, role string, text string")
     assert sorted((r.call_id, r.valid) for r in tool_calls.linked(*tool_calls.from_turns(turns)).collect()) == [("1-0", False), ("2-3", False)]
     assert tool_calls.linked(*tool_calls.from_turns(turns.limit(0))).count() == 0
+
+
+def test_tool_call_kinds_equal_brute_force(spark):
+    """Against Python's json: every value with every kind."""
+    import json
+
+    values = ["1", "-5", "01", "1.50", "-0.25", "1e5", "true", "True", "", "a", 'a"b', "{}", '{"b": 1, "a": [true, null, {"z": "é", "y": 2.50}]}', "[1, 2]", "[", "null", '"x"']
+    kinds = ["string", "integer", "number", "boolean", "object", "array", "enum:a|b|true"]
+
+    def brute(v, kind):
+        """(valid, value)"""
+        if kind == "string":
+            return True, v
+        if kind.startswith("enum:"):
+            return v in kind[5:].split("|"), v
+        try:
+            x = json.loads(v)
+        except ValueError:
+            return False, v
+        ok = {"integer": type(x) is int, "number": type(x) in (int, float) and "e" not in v, "boolean": type(x) is bool, "object": type(x) is dict, "array": type(x) is list}[kind]
+        return (True, x) if ok else (False, v)
+
+    rows = [(f"{i}-{j}", 1, 0, k, {"v": v}, []) for i, v in enumerate(values) for j, k in enumerate(kinds)]
+    calls = spark.createDataFrame(rows, "call_id string, conv_id bigint, turn bigint, name string, arguments map<string,string>, after array<string>")
+    schemas = spark.createDataFrame([(k, [("v", k, True)]) for k in kinds], "name string, fields array<struct<name:string,kind:string,required:boolean>>")
+    results = spark.createDataFrame([], "conv_id bigint, call_id string, turn bigint, content string")
+    for r in tool_calls.linked(calls, results, schemas).collect():
+        i, j = map(int, r.call_id.split("-"))
+        ok, value = brute(values[i], kinds[j])
+        assert r.valid == ok, (values[i], kinds[j], r.json)
+        want = {"arguments": {"v": value}, "id": r.call_id, "name": kinds[j], "result": None}
+        assert r.json == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False), (values[i], kinds[j])
