@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import column, slices, text_buffers, texts_of
 
-#: Bytes of half a chunk; size of a byte's vector; filters; passes over the sample, and training steps at least; documents of a step; what a rejected
-#: document weighs against a good one, as there are fewer of them.
-STEP, VECTOR, FILTERS, PASSES, LEAST_STEPS, GROUP, WEIGHT = 24, 6, 32, 14, 1200, 32, 15.0
-#: The bound of the labelled sample that the driver trains on: its rows, and the bytes of a text that may be in it.
+#: Bytes of half a chunk; size of a byte's vector; filters; passes over the sample, and training steps at least; documents of a step; what all rejected
+#: documents of the sample weigh against all good ones, however few they are.
+STEP, VECTOR, FILTERS, PASSES, LEAST_STEPS, GROUP, WEIGHT = 24, 6, 32, 14, 1200, 32, 2.3
+#: The bound of the labelled sample that the driver trains on: its rows, and the bytes of a row; of a longer text a stretch of so many bytes is taken, at a place that its doc_id gives.
 SAMPLE_ROWS, SAMPLE_TEXT = 5000, 32_768
+#: Steps that are pooled at once, so that a very long text needs no more memory than its bytes.
+PIECE = 1 << 15
 #: Scores of at least this are predicted 1.
 CUT = 0.3
 PAD = 256
@@ -40,7 +42,7 @@ def steps_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 class Network:
     def __init__(self, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
+        rng, self.weight = np.random.default_rng(seed), 1.0
         self.w = {
             "vectors": rng.normal(0, 0.3, (257, VECTOR)).astype(np.float32),
             "left": rng.normal(0, 0.08, (STEP * VECTOR, FILTERS)).astype(np.float32),
@@ -63,7 +65,12 @@ class Network:
 
     def score(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         w = self.w
-        top = np.maximum(self.pooled(codes, first)[2] + w["shift"], 0)
+        if len(first) == 2 and len(codes) > PIECE + 1:  # a long document: the largest of its pieces' values; pieces share a step, as chunks do
+            tops = [self.pooled(part, np.array([0, len(part)]))[2] for part in (codes[k : k + PIECE + 1] for k in range(0, len(codes) - 1, PIECE))]
+            most = np.max(tops, axis=0)
+        else:
+            most = self.pooled(codes, first)[2]
+        top = np.maximum(most + w["shift"], 0)
         return 1 / (1 + np.exp(-np.clip((top @ w["out"] + w["bias"]).astype(np.float64), -60, 60)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 7) -> None:
@@ -94,7 +101,7 @@ class Network:
         live = top + w["shift"]
         act = np.maximum(live, 0)
         p = 1 / (1 + np.exp(-np.clip(act @ w["out"] + w["bias"], -60, 60)))
-        d = ((p - labels) * np.where(labels == 0, WEIGHT, 1) / len(labels)).astype(np.float32)
+        d = ((p - labels) * np.where(labels == 0, self.weight, 1) / len(labels)).astype(np.float32)
         back = d[:, None] * w["out"][None, :] * (live > 0)
         won = np.stack([first[i] + np.argmax(chunk[first[i] : first[i + 1]], axis=0) for i in range(len(texts))])
         here, after = x[won], x[won + 1]  # documents x filters x (STEP * VECTOR)
@@ -118,6 +125,7 @@ def train(texts: list[bytes], labels: list[int]) -> Network:
     if len(y) and 0 < y.sum() < len(y):
         rate = float(y.mean())
         net.w["bias"][:] = np.log(rate / (1 - rate))
+        net.weight = WEIGHT * rate / (1 - rate)
         net.fit(texts, y)
     else:
         net.w["out"][:] = 0
@@ -143,11 +151,13 @@ def held_out(doc_id):
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fit to a bounded sample of the labelled rows that are not held out, the same rows for the same tables."""
+    """Fit to a bounded sample of the labelled rows that are not held out, the same rows for the same tables; of a doc_id that comes with several texts the least counts."""
     known = labels.select(column(labels, "doc_id", "bigint").alias("doc_id"), column(labels, "quality", "int").alias("quality")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = texts_of(docs).filter(F.octet_length("text") <= SAMPLE_TEXT).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "quality", F.col("text").cast("binary").alias("raw")).dropDuplicates(["doc_id"]).orderBy("doc_id").limit(SAMPLE_ROWS).collect()
+    over = F.greatest(F.octet_length("text") - SAMPLE_TEXT, F.lit(0))
+    raw = F.substring(F.col("text").cast("binary"), (F.pmod(F.xxhash64("doc_id"), over + 1) + 1).cast("int"), F.lit(SAMPLE_TEXT))
+    texts = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", raw.alias("raw"))
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("raw").alias("raw")).orderBy("doc_id").limit(SAMPLE_ROWS).collect()  # no more rows than were chosen
     return train([bytes(r["raw"]) for r in rows], [r["quality"] for r in rows])
 
 
@@ -165,7 +175,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are predicted 1, with all of their columns; nothing is shuffled but the training sample.
 
-    A null text counts as empty."""
+    A null text counts as empty, and rows without doc_id are judged by their text like all others; repeated rows stay or go together."""
     weights = learned(docs, labels).w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

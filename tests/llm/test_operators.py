@@ -284,6 +284,14 @@ def test_warc_round_trip(spark):
     assert warc.read_pages(warc.write_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_of_few_pages_and_ties(spark):
+    rows = [(7, "u", "x" * 2000), (7, "v", "x" * 2000), (5, "w", "x" * 2000), (7, "y", "other " * 300_000)]
+    got = warc.read_pages(warc.write_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(5, 2000, "revisit", 7), (7, 2000, "response", None), (7, 2000, "response", None), (7, 1_800_000, "response", None)]
+    few = warc.trained([b"WARC/1.1 one record alone"])
+    assert few == b"WARC/1.1 one record alone"
+
+
 # repeats -----------------------------------------------------------------------------------------------------------
 
 
@@ -301,12 +309,15 @@ def brute_repeats(rows, n=repeats.LENGTH):
     return sorted(out)
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)  # with 1, every anchor is split by what stands beside it
     rng = random.Random(5)
     passage, other = words(rng, 150, 9000), words(rng, 400, 9000)
     rows = [(k, words(rng, rng.randrange(5, 400), 9000)) for k in range(30)]
     rows += [(40 + k, words(rng, 60, 9000) + " " + passage[k * 3 :] + " é" + words(rng, 50, 9000)) for k in range(12)]
-    rows += [(60, other), (61, other), (62, edited(rng, other, 1)), (63, other[100:501]), (64, other[100:499]), (65, "ab" * 700), (66, "z" * 400), (67, "z" * 401), (68, None), (69, ""), (70, passage + passage), (60, other)]
+    rows += [(60, other), (61, other), (62, edited(rng, other, 1)), (63, other[100:501]), (64, other[100:499]), (65, "ab" * 700), (66, "z" * 400), (67, "z" * 401), (68, None), (69, ""), (70, passage + passage), (60, other), (71, "the " * 9000)]
+    rows += [(100 + k, words(rng, rng.randrange(3), 9000) + other[300:800] + words(rng, 30, 9000)) for k in range(40)]  # one passage beside many different ones
     got = repeats.without_repeats(frame(spark, rows, extra=True)).collect()
     assert sorted(tuple(r) for r in got) == brute_repeats(rows)
     assert repeats.without_repeats(frame(spark, [])).count() == 0
@@ -408,6 +419,61 @@ def test_quality_learns_and_takes_anything(spark):
     assert quality_net.quality_scores(frame(spark, []), labels.limit(0)).count() == 0
 
 
+def test_quality_network_equals_a_naive_one():
+    rng = np.random.default_rng(12)
+    texts = [b"", b"short", bytes(rng.integers(0, 256, 500, dtype=np.uint8)), "é words of text. ".encode() * 30]
+    net = quality_net.Network()
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    got = net.score(*quality_net.steps_of(raw, off))
+    w, n = net.w, quality_net.STEP
+    for t, g in zip(texts, got, strict=True):
+        steps = max(1, -(-len(t) // n)) + 1
+        codes = [*t, *[quality_net.PAD] * (steps * n - len(t))]
+        x = [np.concatenate([w["vectors"][c] for c in codes[k * n : (k + 1) * n]]) for k in range(steps)]
+        top = np.max([x[k] @ w["left"] + x[k + 1] @ w["right"] for k in range(steps - 1)], axis=0)
+        assert abs(1 / (1 + np.exp(-(np.maximum(top + w["shift"], 0) @ w["out"] + w["bias"][0]))) - g) < 1e-4
+
+
+def test_quality_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(3)
+    texts, y = [bytes(rng.integers(32, 127, k, dtype=np.uint8)) for k in (30, 200, 90)], np.array([1, 0, 1], np.float32)
+    net = quality_net.Network()
+    net.weight = 4.0
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    codes = quality_net.steps_of(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+
+    def loss():
+        p = net.score(*codes)
+        return float(np.mean(np.where(y == 1, -np.log(p), -net.weight * np.log(1 - p))))
+
+    slope = net.gradient(texts, y)
+    for name, g in slope.items():
+        for at in [np.unravel_index(int(np.abs(g).argmax()), g.shape), *[tuple(rng.integers(0, s) for s in g.shape) for _ in range(3)]]:
+            held, e = net.w[name][at], 1e-6
+            net.w[name][at] = held + e
+            up = loss()
+            net.w[name][at] = held - e
+            down = loss()
+            net.w[name][at] = held
+            assert abs((up - down) / (2 * e) - g[at]) < 1e-3 * max(1, abs(g[at])), (name, at)
+
+
+def test_quality_of_long_texts_in_pieces(monkeypatch):
+    raw = np.frombuffer(random.Random(4).randbytes(200_000), np.uint8)
+    own = quality_net.steps_of(raw, np.array([0, len(raw)]))
+    whole = quality_net.Network().score(*own)
+    monkeypatch.setattr(quality_net, "PIECE", 100)
+    assert np.allclose(quality_net.Network().score(*own), whole, atol=1e-6)
+
+
+def test_quality_of_repeated_rows_and_long_labelled_texts(spark):
+    rows = [(k, ("Good words here. " if k % 2 else "b@d!! ") * (3000 if k < 20 else 5)) for k in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    got = quality_net.quality_scores(frame(spark, [*rows, rows[3], (4, "Good words here. ")], extra=True), labels).collect()
+    assert len(got) == 202 and len({r.score for r in got if r.doc_id == 3}) == 1
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id != 4)
+
+
 # templates -----------------------------------------------------------------------------------------------------------
 
 
