@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors see, under spark.checkpoint.dir (set here only where it is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/ledgerline-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """Rows that each name a file, dealt evenly to a task each, or to some rounds of tasks where there are very many."""
+    spark = files.sparkSession
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(max(1, min(files.count(), most)))
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """df[name] cast to kind; null where the column is missing."""
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)

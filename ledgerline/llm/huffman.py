@@ -81,9 +81,13 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     word, shift = start >> 5, 64 - (start & 31) - n
     value = codes[ids].astype(np.uint64) << shift.astype(np.uint64)
     total = int(end[-1] >> 5) + 2 if len(end) else 1
-    hi = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), total)
-    lo = np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), total)
-    return (hi + lo).astype(">u4").tobytes(), start[::BLOCK]
+    out = np.zeros(total, np.uint64)
+    if len(n):  # codes that start in one word have bits of their own in it and the next
+        head = np.flatnonzero(np.diff(word, prepend=-1))
+        both = np.add.reduceat(value, head)
+        out[word[head]] = both >> np.uint64(32)
+        out[word[head] + 1] |= both & np.uint64(0xFFFFFFFF)
+    return out.astype(">u4").tobytes(), start[::BLOCK]
 
 
 def unpack(bits: bytes, checkpoints: np.ndarray, count: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -9,15 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, stored, text_buffers, texts_of
+from .common import dealt, shared_dir, slices, stored, text_buffers, texts_of
 from .files import Saved, content
 from .huffman import canonical, code_lengths, read, written
 
 #: Ids of one file at most (a longer document stands alone); distinct words a worker remembers; text bytes coded at once; the end id.
-FILE_IDS, WORDS, BYTES, END = 4_000_000, 400_000, 12 << 20, 0
+FILE_IDS, WORDS, BYTES, END = 4_000_000, 600_000, 12 << 20, 0
 #: Words that go to the library in one string, and the code points whose class is known; a text with one beyond goes to the library as a whole.
 TOGETHER, POINTS = 2048, 0x20000
 #: Fixed values of the vocabulary's pattern: classes of characters, and what an apostrophe that begins a word takes with it.
@@ -53,7 +54,7 @@ class Coder:
         rest = [b for b in range(256) if b not in plain]
         self.letters = np.arange(256, dtype="<u4")
         self.letters[rest] = np.arange(256, 256 + len(rest))
-        self.known: dict[bytes, bytes] = {}
+        self.known, self.lists = pa.array([], pa.binary()), pa.array([], pa.large_list(pa.from_numpy_dtype(self.kind)))
 
     def _classes(self) -> np.ndarray:
         """The class of every code point below POINTS, asked of the library: what it leaves in one word with a letter, a digit or a mark."""
@@ -111,28 +112,42 @@ class Coder:
                     new[end] = True
         return np.flatnonzero(new), odd
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """The packed ids of distinct words."""
-        out: list[bytes] = []
-        width = np.dtype(self.kind).itemsize
-        for k in range(0, len(words), TOGETHER * 16):
-            part = words[k : k + TOGETHER * 16]
-            size = np.fromiter(map(len, part), np.int64, len(part))
-            letters = self.letters[np.frombuffer(b" ".join(part), np.uint8)]
-            letters[np.cumsum(size + 1)[:-1] - 1] = 0x20
-            ends = np.cumsum(size + 1)
-            cut = [0, *ends[TOGETHER - 1 : -1 : TOGETHER].tolist(), int(ends[-1])]
-            strings = [letters[s : e - 1].tobytes().decode("utf-32-le") for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.inner.encode_batch_fast(strings, add_special_tokens=False)])
-            place = np.cumsum(self.bytes_of[ids])
-            last = np.searchsorted(place, np.cumsum(size))
-            if last[-1] != len(ids) - 1 or (place[last] != np.cumsum(size)).any():
-                raise ValueError("the library did not keep a word's bytes")
-            raw, at = ids.tobytes(), 0
-            for n in ((last + 1) * width).tolist():
-                out.append(raw[at:n])
-                at = n
-        return out
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word) of distinct words."""
+        if not len(words):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        raw, offsets = text_buffers(words)
+        ends = offsets[1:] - offsets[0] + np.arange(1, len(words) + 1)  # a space stands behind each word
+        letters = np.full(int(ends[-1]), 0x20, "<u4")
+        letters[np.arange(int(offsets[-1] - offsets[0])) + np.repeat(np.arange(len(words)), np.diff(offsets))] = self.letters[raw[offsets[0] : offsets[-1]]]
+        cut = [0, *ends[TOGETHER - 1 : -1 : TOGETHER].tolist(), int(ends[-1])]
+        strings = [letters[s : e - 1].tobytes().decode("utf-32-le") for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.inner.encode_batch_fast(strings, add_special_tokens=False)])
+        place, want = np.cumsum(self.bytes_of[ids]), offsets[1:] - offsets[0]
+        last = np.searchsorted(place, want)
+        if last[-1] != len(ids) - 1 or (place[last] != want).any():
+            raise ValueError("the library did not keep a word's bytes")
+        return ids, np.diff(last, prepend=-1)
+
+    def ids_of(self, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word) of words in order; words that come twice here are remembered."""
+        distinct, index = words.dictionary, words.indices.to_numpy()
+        at = pc.index_in(distinct, value_set=self.known).to_numpy(zero_copy_only=False)
+        missing = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        new = distinct.filter(pa.array(missing))
+        ids, sizes = self.learn(new)
+        old = at[~missing].astype(np.int64)
+        every = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)]), pa.array(ids))
+        place = np.empty(len(distinct), np.int64)
+        place[missing], place[~missing] = np.arange(len(new)), len(new) + np.arange(len(old))
+        lists = pa.concat_arrays([every, self.lists.take(pa.array(old))])
+        often = (np.bincount(index, minlength=len(distinct)) > 1)[missing]
+        if len(self.known) + int(often.sum()) > WORDS:
+            self.known, self.lists = self.known[:0], self.lists[:0]
+        self.known = pa.concat_arrays([self.known, new.filter(pa.array(often))])
+        self.lists = pa.concat_arrays([self.lists, every.filter(pa.array(often))])
+        place = place[index]
+        return lists.take(pa.array(place)).flatten().to_numpy(), lists.value_lengths().to_numpy()[place]
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each row), equal to the library's for each whole row."""
@@ -150,18 +165,8 @@ class Coder:
                 whole.add(int(np.searchsorted(rel, at, side="right")) - 1)
                 at = text.find(t.encode(), at + 1)
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int32)), pa.py_buffer(text)]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        got = list(map(self.known.get, distinct))
-        new = [w for w, g in zip(distinct, got, strict=True) if g is None]
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-        made = dict(zip(new, self.learn(new), strict=True))
-        self.known.update(zip(new[:WORDS], made.values(), strict=False))
-        got = [made[w] if g is None else g for w, g in zip(distinct, got, strict=True)]
-        width = np.dtype(self.kind).itemsize
-        size = np.fromiter(map(len, got), np.int64, len(got)) // width
-        lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)]), pa.array(np.frombuffer(b"".join(got), self.kind)))
-        ends, ids = np.cumsum(size[words.indices.to_numpy()]), lists.take(words.indices).flatten().to_numpy()
+        ids, count = self.ids_of(words)
+        ends = np.cumsum(count)
         bounds = np.r_[0, ends][np.searchsorted(starts, rel)]
         sizes = np.diff(bounds)
         if whole:
@@ -175,6 +180,13 @@ class Coder:
 _loaded: dict[str, Coder] = {}
 
 
+def loaded(path: str) -> Coder:
+    """The coder of this worker. Tasks call it by its name; a dictionary named in a task's own function would travel, empty, with each task."""
+    if path not in _loaded:
+        _loaded[path] = Coder(path)
+    return _loaded[path]
+
+
 def id_kind(path: str) -> type:
     """The narrowest type that holds every id of a tokenizers file."""
     with open(path, encoding="utf-8") as f:
@@ -185,9 +197,7 @@ def id_kind(path: str) -> type:
 
 def tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _loaded:
-            _loaded[path] = Coder(path)
-        own = _loaded[path]
+        own = loaded(path)
         width = np.dtype(own.kind).itemsize
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
@@ -204,7 +214,8 @@ def counted(kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(x.as_py() for x in batch.column("ids")), kind))
+            raw, offsets = text_buffers(batch.column("ids"))
+            own = np.bincount(raw[offsets[0] : offsets[-1]].view(kind)) if len(batch) else np.zeros(1, np.int64)
             own = np.pad(own, (0, max(0, len(total) - len(own))))
             own[: len(total)] += total
             total = own
@@ -273,4 +284,4 @@ def write_token_files(docs: DataFrame, path: str) -> DataFrame:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files of a manifest (a row for each file)."""
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("first", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    return manifest.select("path", before).repartition(max(1, manifest.count()), "path").mapInArrow(read_files, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return dealt(manifest.select("path", before)).mapInArrow(read_files, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, shared_dir, stored
+from .common import column, dealt, shared_dir, stored
 from .files import Saved, content
 
 #: Fixed by the format: magic of the dictionary frame.
@@ -50,11 +50,12 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def trained(records: list[bytes]) -> bytes:
-    """A dictionary from the records at hand; empty if there is too little to learn from."""
+    """A dictionary from the records at hand; where they are too few or too alike to train one, their beginnings are the dictionary themselves."""
+    parts = [r[:SAMPLE_BYTES] for r in records]
     try:
-        return zstandard.train_dictionary(DICTIONARY, [r[:SAMPLE_BYTES] for r in records]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(parts)[-DICTIONARY:]
 
 
 def write_archives(folder: str):
@@ -70,7 +71,7 @@ def write_archives(folder: str):
             file, count = Saved(folder, ".warc.zst"), 0
             frame = zstandard.ZstdCompressor(level=3).compress(own)
             file.write(struct.pack("<II", DICTIONARY_MAGIC, len(frame)) + frame)
-            press = zstandard.ZstdCompressor(level=3, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(own) if own else None)
+            press = zstandard.ZstdCompressor(level=3, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(own))
             for r in waiting:
                 file.write(press.compress(r))
             count += len(waiting)
@@ -106,7 +107,7 @@ def frames(data: bytes) -> Iterator[bytes]:
     if magic != DICTIONARY_MAGIC:
         raise ValueError("the archive has no dictionary frame")
     own = zstandard.ZstdDecompressor().decompress(data[8 : 8 + size])
-    opener, rest = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own) if own else None), memoryview(data)[8 + size :]
+    opener, rest = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own)), memoryview(data)[8 + size :]
     while len(rest):
         one = opener.decompressobj()
         out = [one.decompress(rest)]
@@ -135,11 +136,14 @@ def write_pages(pages: DataFrame) -> DataFrame:
     Extra columns are ignored. An empty table writes no archive."""
     spark = pages.sparkSession
     p = pages.select(column(pages, "page_id", "bigint").alias("page_id"), column(pages, "url", "string").alias("url"), F.coalesce(column(pages, "html", "string"), F.lit("")).cast("binary").alias("payload")).filter("page_id IS NOT NULL").withColumn("digest", F.sha1("payload"))
-    large = p.filter(F.length("payload") >= LEAST).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).filter("c > 1").select("digest", "last")
-    known = p.join(large, "digest", "left").withColumn("refers_to", F.when((F.length("payload") >= LEAST) & (F.col("last") != F.col("page_id")), F.col("last")))
+    # who refers to whom is settled on narrow rows; payloads move by page and digest, so a payload that very many pages share is no hot key
+    narrow = p.filter(F.length("payload") >= LEAST).select("page_id", "digest")
+    large = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).filter("least < refers_to").select("digest", "refers_to")
+    refers = narrow.distinct().join(large, "digest").filter("page_id <> refers_to")
+    known = p.join(refers, ["page_id", "digest"], "left")
     return stored(known.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write_archives(shared_dir(spark, "warc")), "path string, records bigint, bytes bigint"), "manifest")
 
 
 def read_pages(manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records in the archives of a manifest."""
-    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read_archives, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return dealt(manifest.select("path")).mapInArrow(read_archives, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
