@@ -4,6 +4,9 @@ Every window of LENGTH bytes holds one chosen anchor, its K-gram of least hash;
 by their anchors: starts with one anchor are a run, and a run's context is the text that its windows span. Anchors that occur once in the corpus cannot repeat and go no further. The
 contexts of the others meet in shards, equal contexts counted beforehand, and a shard's suffixes are sorted by induction; starts whose first LENGTH bytes
 equal a neighbour's are repeated. Texts that are equal as a whole are one text with a count.
+
+An anchor that starts very many runs is split further: equal windows have their anchor at the same place, so its windows are dealt by that
+place, in ranges that double, and each range by the bytes beside the anchor that all of its windows hold.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .induced import suffix_order
 
 #: Bytes of a repeated string and of an anchor; bytes of contexts in a shard.
 LENGTH, K, SHARD = 400, 160, 3 << 20
+#: Runs of one anchor beyond which they are split, and the tasks that the rows of one anchor are dealt to.
+HOT, SALTS = 5000, 8
 W = LENGTH - K + 1
 VALUES = byte_values(23)
 
@@ -37,7 +42,7 @@ def windowed_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """(row, first start, last start, anchor) of every run in some rows; starts are relative to the row."""
+    """(row, first start, last start, place of the anchor, anchor) of every run in some rows; places are relative to the row."""
     data, rel = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
     if len(data) < LENGTH:
         return None
@@ -56,11 +61,11 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | No
     head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (start[1:] != start[:-1] + 1)])
     tail = np.r_[head[1:], len(start)] - 1
     r = r[head]
-    return r, start[head] - rel[r], start[tail] - rel[r], h[a[head]].view(np.int64)
+    return r, start[head] - rel[r], start[tail] - rel[r], a[head] - rel[r], h[a[head]].view(np.int64)
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "h1", "lo", "hi", "anchor", "twice"]
+    names = ["doc_id", "h1", "lo", "hi", "at", "anchor", "twice"]
     for batch in batches:
         ids, h1 = batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy()
         raw, offsets = text_buffers(batch.column("text"))
@@ -68,12 +73,30 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = runs_of(raw, offsets[s : e + 1])
             if found is None:
                 continue
-            r, lo, hi, anchor = found
+            r, lo, hi, place, anchor = found
             by = np.lexsort((anchor, r))
             same = (r[by][1:] == r[by][:-1]) & (anchor[by][1:] == anchor[by][:-1])
             twice = np.zeros(len(r), bool)
             twice[by[1:][same]], twice[by[:-1][same]] = True, True
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[s + r], h1[s + r], lo, hi, anchor, twice)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[s + r], h1[s + r], lo, hi, place, anchor, twice)], names)
+
+
+def split(run: dict, text: bytes) -> Iterator[tuple[int, int, int]]:
+    """(first start, last start, anchor) of a run, or of the parts of a hot one.
+
+    A window has `j` bytes before its anchor and W - 1 - j behind it. Those with j in low..high all hold the low bytes before and the W - 1 - high
+    bytes behind, so equal windows agree there and meet in the same part."""
+    lo, hi, at = run["lo"], run["hi"], run["at"]
+    if not run["hot"]:
+        yield lo, hi, run["anchor"]
+        return
+    low, high = 0, 0
+    while low < W:
+        first, last = max(lo, at - high), min(hi, at - low)
+        if first <= last:
+            beside = b"%d:%d:" % (run["anchor"], low) + text[at - low : at] + b":" + text[at + K : at + K + W - 1 - high]
+            yield first, last, xxhash.xxh3_64_intdigest(beside) - (1 << 63)
+        low, high = high + 1, min(2 * high + 1, W - 1)
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,14 +110,14 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 8 + [pa.binary()]
         for k, (doc, h1, copies, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h1", "copies", "runs")), strict=True)):
             text = raw[offsets[k] : offsets[k + 1]].tobytes()
-            for run in runs:
-                own = text[run["lo"] : run["hi"] + LENGTH]
+            for first, last, anchor in (part for run in runs for part in split(run, text)):
+                own = text[first : last + LENGTH]
                 d = xxhash.xxh3_128_digest(own)
                 c1, c2 = np.frombuffer(d, np.int64).tolist()
                 new = d not in seen
                 seen.add(d)
                 size += len(own) if new else 64
-                for col, v in zip(cols, (c1, c2, run["anchor"], doc, h1, run["lo"], run["hi"] - run["lo"] + 1, copies, own if new else None), strict=True):
+                for col, v in zip(cols, (c1, c2, anchor, doc, h1, first, last - first + 1, copies, own if new else None), strict=True):
                     col.append(v)
                 if size > 16 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
@@ -176,9 +199,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     every = d.select("doc_id", "h1", "h2", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     texts = stored(every.filter(F.col("n_bytes") >= LENGTH).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     long = d.filter(F.octet_length("text") >= LENGTH)
-    found = stored(long.select("doc_id", "h1", "text").mapInArrow(anchors, "doc_id bigint, h1 bigint, lo bigint, hi bigint, anchor bigint, twice boolean"), "anchors")
-    again = found.groupBy("anchor").agg((F.min("h1") != F.max("h1")).alias("many"), F.max("twice").alias("twice")).filter("many OR twice").select("anchor")
-    meet = found.join(again, "anchor").groupBy("doc_id", "h1").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
+    found = stored(long.select("doc_id", "h1", "text").mapInArrow(anchors, "doc_id bigint, h1 bigint, lo bigint, hi bigint, at bigint, anchor bigint, twice boolean"), "anchors")
+    again = found.groupBy("anchor").agg((F.min("h1") != F.max("h1")).alias("many"), F.max("twice").alias("twice"), (F.count("*") > HOT).alias("hot")).filter("many OR twice")
+    # the rows of one anchor are dealt to several tasks; each of them gets the anchor
+    again = again.select("anchor", "hot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int")).join(again, ["anchor", "salt"])
+    meet = met.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("lo", "hi", "at", "anchor", "hot")).alias("runs"))
     meet = meet.join(texts.select(F.col("rep").alias("doc_id"), "h1", "h2", "copies"), ["doc_id", "h1"])
     # a doc_id that comes twice with one text has its runs twice; one of each counts
     meet = meet.withColumn("runs", F.array_distinct("runs"))
