@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing (component_id is their own
     doc_id). Texts of fewer words are one shingle. Rows without doc_id are dropped; a repeated doc_id gives a row for
-    each of its rows, and each is linked by its own text. Extra columns are ignored. An empty table gives no rows."""
+    each of its rows, each linked by its own text. Extra columns are ignored. An empty table gives no rows."""
     docs = texts_of(docs)
     sig = stored(docs.mapInArrow(signatures(width), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>"), "sig")
     some = sig.filter("n_shingles > 0")
@@ -239,13 +239,19 @@ def _across(links: DataFrame, wide: DataFrame, compared) -> DataFrame:
     leaders = leaders.join(count, "component").select(F.xxhash64("component", F.lit("leaders"), F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("key"), "rep", "h1", "known")
     links = links.union(compared(leaders))
     now = labelled(links)
-    still = now.groupBy("component").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi").select("component")
-    rest = now.join(still, "component")
+    # members outside a group's largest component, in blocks, meet every chunk; members inside it stay in their own chunk, as they need not meet each other
+    parts = now.groupBy("component", "known").agg(F.count("*").alias("c"))
+    main = parts.groupBy("component").agg(F.max(F.struct("c", "known")).alias("m"), F.sum("c").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    main = main.select("component", F.col("m.known").alias("main"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("blocks"))
+    rest = stored(now.join(main, "component"), "rest")
     if rest.isEmpty():
         return links
-    other = F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda x: x != F.col("chunk"))).alias("other")
-    pairs = rest.select("component", "rep", "h1", "known", "chunk", other).select(F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "rep", "h1", "known")
-    return links.union(compared(pairs))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias(name)
+    here = rest.select("component", "rep", "h1", "known", "chunk", every("blocks", "block"))
+    other = rest.filter("known <> main").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")))
+    there = other.select("component", "rep", "h1", "known", F.col("chunk").alias("own"), every("chunks", "chunk"), "block").filter("own <> chunk").drop("own")
+    met = here.unionByName(there).select(F.xxhash64("component", "chunk", "block").alias("key"), "rep", "h1", "known")
+    return links.union(compared(met))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
