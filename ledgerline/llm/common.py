@@ -15,8 +15,14 @@ from pyspark.sql import types as T
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of a batch that goes to a Python worker, whatever its rows hold; set unless the session names a size of its own.
+BATCH, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 12 << 20, "67108864b"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package; clusters ship it with --py-files."""
+    """Let Python workers on this machine import the package, and bound their batches; clusters ship the package with --py-files."""
+    if spark.conf.get(BATCH, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in have:

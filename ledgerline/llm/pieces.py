@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import texts_of
 
 #: The word mark, fixed by the format; the units a worker remembers before it starts afresh; pairs likewise.
-MARK, UNITS, PAIRS = "▁", 700_000, 2_000_000
+MARK, UNITS, PAIRS = "▁", 600_000, 1_000_000
 UNIT = re.compile(f"{MARK}*[^{MARK}]*")
 
 
