@@ -11,6 +11,7 @@ from . import prepare
 from .graph import ClaimGraph, Refusal
 from .sources import config as cfg
 from .sources.convert import read_json_stream
+from .sources.transport import http
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,6 +49,20 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--restage", type=int)
     r.add_argument("--actor", default="cli")
     c.add_parser("evidence").add_argument("keys", type=int, nargs="+")
+    p_ = c.add_parser("propose", help="ask a chat-completions endpoint for contradictions")
+    p_.add_argument("--url", default="")
+    p_.add_argument("--model", default="")
+    p_.add_argument("--key-env", help="variable that holds the endpoint's key")
+    p_.add_argument("--budget", type=int)
+    e = c.add_parser("eval").add_subparsers(dest="action", required=True)
+    m = e.add_parser("claims")
+    m.add_argument("--corpus", required=True)
+    m.add_argument("--run", required=True)
+    m = e.add_parser("manifest")
+    m.add_argument("--extractor-version")
+    m.add_argument("--out", help="folder that the manifest is written to")
+    c.add_parser("dump").add_argument("to")
+    c.add_parser("restore").add_argument("source")
     return p
 
 
@@ -74,9 +89,9 @@ def answer(g: ClaimGraph, o: argparse.Namespace, now: int) -> dict | list:
         case "revive":
             return {"outcomes": g.revive(o.ids)}
         case "er":
-            return {"pairs": g.er(now, day, o.budget)}
+            return g.er(now, day, o.budget)
         case "scan":
-            return {"pairs": g.scan(now, day, o.budget)}
+            return g.scan(now, day, o.budget)
         case "review" | "proposal":
             if o.action == "list":
                 return {"open": g.review_list(now) if o.command == "review" else g.proposal_list()}
@@ -89,6 +104,20 @@ def answer(g: ClaimGraph, o: argparse.Namespace, now: int) -> dict | list:
             return {"claims": [r.asDict() for r in g.resolve().orderBy("claim_key").toLocalIterator()]}
         case "evidence":
             return {"checks": g.evidence_check(o.keys, now)}
+        case "propose":
+            try:
+                send = http(o.url, o.model, o.key_env)
+            except ValueError as e:
+                raise Refusal("propose_unconfigured", str(e)) from None
+            return g.propose(send, now, day, o.model, o.budget)
+        case "eval":
+            return g.eval_claims(o.corpus, o.run) if o.action == "claims" else g.eval_manifest(o.extractor_version, o.out)
+        case "dump":
+            return {"tables": g.store.dump(o.to)}
+        case "restore":
+            if g.store.manifest():
+                raise Refusal("restore_refused", "the store is not empty")
+            return {"tables": g.store.restore(o.source)}
 
 
 def main(argv: list[str] | None = None, spark=None, now: int | None = None) -> tuple[int, dict]:

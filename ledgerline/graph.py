@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import extract, ingest, lifecycle, model, pairs, search
+from .operators import evaluate, extract, ingest, lifecycle, model, pairs, search
 from .schema import TABLES
+from .sources import golden
 from .sources.adapter import running_before
 from .sources.config import KEYS
 from .sources.store import GraphStore
@@ -139,10 +141,19 @@ class ClaimGraph:
 
     # passes --------------------------------------------------------------------------------------------------------------
 
-    def er(self, now: int, as_of: int, budget: int | None = None) -> list[dict]:
+    def _report(self, outcomes: DataFrame, made: str, examined: DataFrame, budget: int) -> dict:
+        """A pass's pairs, at most its budget, with what was proposed and refused; exhausted if the walk or the pairs went beyond the budget."""
+        rows = [r.asDict() for r in outcomes.select("from_claim", "to_claim", "rule", "outcome", "refused").collect()]
+        proposed = sum(r["outcome"] == made for r in rows)
+        refused = len(rows) - proposed + sum(r.pop("refused") for r in rows)
+        walked = search.truncated(self.claims(), budget).first()["status"]
+        return {"pairs": rows, "proposed": proposed, "refused": refused, "status": "budget-exhausted" if examined.limit(budget + 1).count() > budget else walked}
+
+    def er(self, now: int, as_of: int, budget: int | None = None) -> dict:
         b = budget or self.config["default_budget"]
         h = self.ranked(b, as_of).persist()
-        p = pairs.budgeted(pairs.equal_pairs(h).union(pairs.contained_pairs(h)).union(pairs.alias_pairs(h, self.read("er_aliases"))), b)
+        every = pairs.equal_pairs(h).union(pairs.contained_pairs(h)).union(pairs.alias_pairs(h, self.read("er_aliases")))
+        p = pairs.budgeted(every, b)
         side = lambda x: h.select(F.col("claim_key").alias(f"{x}_claim"), F.col("text").alias(f"{x}_text"), F.col("episodes").alias(f"{x}_eps"))
         eps = F.array_sort(F.array_distinct(F.concat(F.split("from_eps", ","), F.split("to_eps", ","))))
         mark = F.to_json(F.struct(F.array("from_text", "to_text").alias("texts"), eps.alias("episodes"), F.col("rule")))
@@ -150,15 +161,16 @@ class ClaimGraph:
         none = F.lit(None).cast("string")
         new = self.numbered(g.filter("outcome = 'queued'").select("from_claim", "to_claim", F.lit("proposed").alias("status"), F.col("rule").alias("evidence"), "fingerprint", F.lit(now).cast("bigint").alias("queued_at"), F.lit(None).cast("bigint").alias("resolved_at"), none.alias("actor"), none.alias("decision"))).persist()
         self.store.commit(reviews=new, edges=new.select("seq", "from_claim", F.lit("possible_duplicate_of").alias("label"), "to_claim", none.alias("provenance")))
-        return [r.asDict() for r in g.select("from_claim", "to_claim", "rule", "outcome").collect()]
+        return self._report(g, "queued", every, b)
 
-    def scan(self, now: int, as_of: int, budget: int | None = None) -> list[dict]:
+    def scan(self, now: int, as_of: int, budget: int | None = None) -> dict:
         b = budget or self.config["default_budget"]
-        p = pairs.budgeted(pairs.scan_pairs(self.ranked(b, as_of)), b).withColumn("label", F.lit("contradicts"))
+        every = pairs.scan_pairs(self.ranked(b, as_of))
+        p = pairs.budgeted(every, b).withColumn("label", F.lit("contradicts"))
         o = p.join(lifecycle.new_edges(p.select("from_claim", "label", "to_claim"), self.read("edges"), self.read("claims")), ["from_claim", "label", "to_claim"]).persist()
         why = F.to_json(F.struct(F.lit("contradiction-scan").alias("pass"), F.lit("1").alias("version"), F.col("rule"), F.lit(now).alias("at")))
         self.store.commit(edges=self.numbered(o.filter("outcome = 'inserted'").select("from_claim", "label", "to_claim", why.alias("provenance"))))
-        return [r.asDict() for r in o.select("from_claim", "to_claim", "rule", "outcome").collect()]
+        return self._report(o, "inserted", every, b)
 
     def propose(self, transport: model.Transport, now: int, as_of: int, producer: str, budget: int | None = None) -> dict:
         hits = [(r.claim_key, r.text) for r in self.ranked(budget or self.config["default_budget"], as_of).orderBy("rank").collect()]
@@ -170,6 +182,45 @@ class ClaimGraph:
         self.store.commit(contradiction_proposals=self.numbered(g.select("from_claim", "to_claim", F.lit("proposed").alias("status"), F.lit(producer).alias("producer"), "rationale", "fingerprint", F.lit(now).cast("bigint").alias("queued_at"), F.lit(None).cast("bigint").alias("resolved_at"), none.alias("actor"), none.alias("decision"))))
         return report
 
+    # evaluation ------------------------------------------------------------------------------------------------------
+
+    def eval_claims(self, corpus: str, run: str) -> dict:
+        """Scores a run's manifest, less what the shape rules drop, against a golden corpus; both are files."""
+        try:
+            c, r = golden.read_corpus(self.spark, corpus), golden.read_run(self.spark, run)
+        except ValueError as e:
+            raise Refusal("eval_error", str(e)) from None
+        kept = evaluate.post_pass(r.candidates, c.episodes).persist()
+        emitted, unknown = kept.count(), kept.join(c.episodes.select(F.col("id").alias("episode_id")), "episode_id", "left_anti").count()
+        if emitted and unknown == emitted:
+            raise Refusal("eval_error", f"all {emitted} candidates of run {r.id} name episodes that corpus {c.id} has not")
+        judged = evaluate.judgments(kept, c.golden, c.episodes).persist()
+        m = evaluate.metrics(judged, c.golden).first().asDict()
+        out = {"corpus_id": c.id, "corpus_version": c.version, "run_id": r.id, "extractor_version": r.version, "shape_filtered": r.candidates.count() - emitted, "unknown_episode_ids": unknown}
+        rows = [x.asDict() for x in judged.orderBy("candidate").toLocalIterator()]
+        return out | m | {"judgments": rows, "results_row": evaluate.results_row(f"{c.id}@v{c.version}", r.version, m)}
+
+    def eval_manifest(self, version: str | None = None, out: str | None = None) -> dict:
+        """The live candidates of one extractor version as a run; with out, only written there, as one JSON object in the part file of a folder."""
+        have = sorted(r[0] for r in self.read("extracted").select("extractor_version").distinct().collect())  # a row an extractor version
+        if version is None and len(have) != 1:
+            raise Refusal(*(("eval_manifest_ambiguous", f"several versions: {', '.join(have)}") if have else ("eval_manifest_empty", "nothing has been extracted")))
+        v = version or have[0]
+        live = evaluate.live_candidates(self.claims(), self.read("lineage"), v).select("claim_key", "episode_id", "text", F.col("evidence.text").alias("evidence_span")).persist()
+        told = live.filter("evidence_span IS NOT NULL")
+        n = told.count()
+        about = {"extractor_version": v, "claim_count": n, "skipped_unknown_evidence": live.count() - n, "out": out}
+        order = told.orderBy("claim_key", "episode_id").select("episode_id", "text", "evidence_span")
+        if out is None:
+            return about | {"run": {"run_id": f"store-export-{v}", "extractor_version": v, "claims": [r.asDict() for r in order.toLocalIterator()]}}
+        lead = json.dumps({"run_id": f"store-export-{v}", "extractor_version": v})[:-1] + ', "claims": ['
+        lines = told.select(F.lit(1).alias("o"), "claim_key", "episode_id", F.to_json(F.struct("episode_id", "text", "evidence_span")).alias("value"))
+        first = lines.agg(F.min(F.struct("claim_key", "episode_id")).alias("f"))
+        lines = lines.join(F.broadcast(first)).select("o", "claim_key", "episode_id", F.when(F.struct("claim_key", "episode_id") == F.col("f"), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
+        ends = self.spark.createDataFrame([(0, None, None, lead), (2, None, None, "]}")], lines.schema)
+        lines.union(ends).repartition(1).sortWithinPartitions("o", "claim_key", "episode_id").select("value").write.text(out)
+        return about
+
     # people ----------------------------------------------------------------------------------------------------------
 
     def adopt(self, keys: list[int], actor: str, now: int) -> list[dict]:

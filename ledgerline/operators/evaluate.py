@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, content_form, hedges
+from ..functions.text import collapse, content_form, headings, hedges, shape
 
 JUDGED = "candidate bigint, episode_id string, reason string, golden bigint"
 
@@ -60,6 +60,20 @@ def metrics(judged: DataFrame, golden: DataFrame) -> DataFrame:
     return j.select("emitted", "golden", "matched", "content_miss", "spurious", "hedge_dropped", ratio("matched", "emitted").alias("precision"), ratio("matched", "golden").alias("recall"), ratio("preserved", "hedged").alias("hedge_preservation"), F.array_join(unknown, ",").alias("unknown_metrics"))
 
 
+def post_pass(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Candidates without those that a live extraction's shape rules would drop; headings are the episode's, none where it is unknown."""
+    e = episodes.select(F.col("id").alias("episode_id"), headings(F.col("text")).alias("_heads"))
+    heads = F.coalesce("_heads", F.array().cast("array<string>"))
+    return candidates.join(e, "episode_id", "left").filter(shape(F.col("text"), heads).isNull()).select(candidates.columns)
+
+
+def results_row(corpus: str, version: str, m: dict) -> str:
+    """The Markdown row of a results table: ratios with three decimals, `unknown` for those over nothing; the date is for whoever appends it."""
+    ratio = " | ".join("unknown" if m[k] is None else f"{m[k]:.3f}" for k in ("precision", "recall", "hedge_preservation"))
+    counts = " ".join(f"{k.replace('_', '-')}={m[k]}" for k in ("emitted", "matched", "golden", "content_miss", "spurious", "hedge_dropped"))
+    return f"| (date) | {corpus} | {version} | {ratio} | {counts} |"
+
+
 def live_candidates(claims: DataFrame, lineage: DataFrame, version: str) -> DataFrame:
     """Staged and active claims with a lineage row of a version: what a run's manifest holds."""
     return claims.filter("status IN ('staged', 'active')").join(lineage.filter(F.col("extractor_version") == version).select("claim_key", "episode_id"), "claim_key")
