@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed_runs, stored, text_buffers, texts_of
+from .common import components, frugal, keyed_runs, stored, text_buffers, texts_of
 from .shingles import multipliers, set_digest, shingle_sets, signature
 
 #: Minwise tokens of a document; independent trees; a tree's greatest depth; members of a small node;
@@ -189,7 +189,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     for x in leaves[1:]:
         small = small.union(x)
     small = small.join(reps.select("rep", "n_shingles", "sig"), "rep").repartition("key").sortWithinPartitions("key", "rep")
-    found = small.mapInArrow(plausible, "a bigint, b bigint").distinct()
+    found = small.mapInArrow(frugal(plausible), "a bigint, b bigint").distinct()
     return found if edges is None else found.union(edges)
 
 
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id). Texts of fewer words are one shingle. Rows without doc_id are dropped; a repeated doc_id gives a row for
     each of its rows, each linked by its own text. Extra columns are ignored. An empty table gives no rows."""
     docs = texts_of(docs)
-    sig = stored(docs.mapInArrow(signatures(width), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>"), "sig")
+    sig = stored(docs.mapInArrow(frugal(signatures(width)), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>"), "sig")
     some = sig.filter("n_shingles > 0")
     reps = stored(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
     groups = components(candidate_edges(reps))
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = groups.join(sizes, "component").select("component", F.col("id").alias("rep"), F.ceil(F.col("c") / BLOCK).alias("chunks"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).join(reps.select("rep", "h1"), "rep")
     members = stored(members, "members")
-    check = verify(width, percent)
+    check = frugal(verify(width, percent))
 
     def compared(rows: DataFrame) -> DataFrame:
         """rows: key, rep, h1, known."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -174,5 +175,20 @@ def keyed_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def frugal(run):
+    """run over batches; when its task ends, the worker, which lives on for other stages, gives freed memory back to the system."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return own
+
+
 def schema(text: str) -> T.StructType:
     return T.StructType.fromDDL(text) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(text)

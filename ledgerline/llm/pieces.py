@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import frugal, texts_of
 
 #: The word mark, fixed by the format; the units a worker remembers before it starts afresh; pairs likewise.
 MARK, UNITS, PAIRS = "▁", 600_000, 1_000_000
@@ -243,4 +243,4 @@ def piece_digests(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
     A null or empty text has the begin and end ids alone and decodes to the empty string. Rows without doc_id are dropped, repeated
     rows stay, extra columns are ignored, and an empty table gives no rows."""
     kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return texts_of(docs).mapInArrow(encode_batches(model, with_ids), kind)
+    return texts_of(docs).mapInArrow(frugal(encode_batches(model, with_ids)), kind)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, text_buffers, texts_of
+from .common import column, frugal, slices, text_buffers, texts_of
 
 #: Bytes of half a chunk; size of a byte's vector; filters; passes over the sample, and training steps at least; documents of a step; what all rejected
 #: documents of the sample weigh against all good ones, however few they are.
@@ -168,7 +168,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ignored. Labels that are null or neither 0 nor 1 are passed over, and of several labels of a document the largest counts; without
     labels every score is 0.5."""
     net = learned(docs, labels)
-    scored = texts_of(docs).mapInArrow(scorer(net.w), "doc_id bigint, score double")
+    scored = texts_of(docs).mapInArrow(frugal(scorer(net.w)), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -186,4 +186,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for a, b in slices(offsets, 1 << 19):
                 yield batch.slice(a, b - a).filter(pa.array(net.score(*steps_of(raw, offsets[a : b + 1])) >= CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

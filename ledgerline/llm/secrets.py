@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import frugal, texts_of
 
 #: The kinds in their order with the patterns and least lengths.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -306,7 +306,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty: no spans, the digest of the empty string. Rows without doc_id are dropped, repeated rows are each scanned, and
     extra columns are ignored. Findings that a decoded layer repeats at the same place and of the same kind count once."""
-    return texts_of(docs).mapInArrow(scan_batches, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_spans bigint, n_layers bigint, n_cut bigint")
+    return texts_of(docs).mapInArrow(frugal(scan_batches), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_spans bigint, n_layers bigint, n_cut bigint")
 
 
 def redacted(text: str) -> str:
@@ -331,4 +331,4 @@ def redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def redact(docs: DataFrame) -> DataFrame:
     """Docs with every finding in text replaced by its kind in brackets and n_chars counted anew; null texts stay null."""
-    return docs.mapInArrow(redact_batches, docs.schema)
+    return docs.mapInArrow(frugal(redact_batches), docs.schema)
