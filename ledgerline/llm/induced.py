@@ -14,6 +14,8 @@ import tempfile
 
 import numpy as np
 
+#: Kind of a position; a shard is far below 2 GB.
+PLACE = np.int32
 #: Entries that a queue set holds in memory before it writes runs to its scratch file.
 HELD = 1 << 23
 
@@ -31,7 +33,7 @@ class Queues:
                 self.file = tempfile.TemporaryFile()
             self.file.seek(0, 2)
             self.runs[symbol].append((self.file.tell(), len(run)))
-            self.file.write(run.astype(np.int64).tobytes())
+            self.file.write(run.astype(PLACE).tobytes())
         else:
             self.now += len(run)
             self.runs[symbol].append(run)
@@ -52,12 +54,12 @@ class Queues:
         for r in self.runs[symbol]:
             if isinstance(r, tuple):
                 self.file.seek(r[0])
-                out.append(np.frombuffer(self.file.read(8 * r[1]), np.int64))
+                out.append(np.frombuffer(self.file.read(PLACE().itemsize * r[1]), PLACE))
             else:
                 self.now -= len(r)
                 out.append(r)
         self.runs[symbol] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, PLACE)
 
     def close(self) -> None:
         if self.file is not None:
@@ -68,11 +70,13 @@ def smaller(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one after it (the last is not)."""
     n = len(text)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
+    step[:-1] = text[1:] > text[:-1]
+    step[:-1] -= text[1:] < text[:-1]
     step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
-    nxt = np.minimum.accumulate(at[::-1])[::-1]
-    return step[nxt] > 0
+    at = np.arange(n, dtype=PLACE)
+    at[step == 0] = n
+    np.minimum.accumulate(at[::-1], out=at[::-1])
+    return step[at] > 0
 
 
 def named(text: np.ndarray, small: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -81,18 +85,18 @@ def named(text: np.ndarray, small: np.ndarray, starts: np.ndarray, depth: int) -
     Symbols are compared with their types, so no substring is the beginning of another."""
     n, m = len(text), len(starts)
     # names of substrings of six symbols or more, then doubling over the reduced string
-    padded = np.concatenate([text.astype(np.uint64) * np.uint64(2) + small, np.zeros(8, np.uint64)])
+    padded = np.concatenate([text.astype(np.uint16) * np.uint16(2) + small + np.uint16(1), np.ones(8, np.uint16)])
     ends = np.r_[starts[1:], n] + 1 - starts
     key = np.zeros(m, np.uint64)
     for k in range(6):
-        key = (key << np.uint64(10)) | np.where(k < ends, padded[np.minimum(starts + k, n)] + np.uint64(1), np.uint64(0))
+        key = (key << np.uint64(10)) | np.where(k < ends, padded[np.minimum(starts + k, n)], np.uint16(0))
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     k = 6
     longest = int(ends.max()) if m else 0
     while k < longest:  # substrings that are longer than six symbols
         key = np.zeros(m, np.uint64)
         for j in range(k, k + 5):
-            key = (key << np.uint64(10)) | np.where(j < ends, padded[np.minimum(starts + j, n)] + np.uint64(1), np.uint64(0))
+            key = (key << np.uint64(10)) | np.where(j < ends, padded[np.minimum(starts + j, n)], np.uint16(0))
         live = np.flatnonzero(ends > k)
         tail = np.zeros(m, np.int64)
         tail[live] = np.unique(key[live], return_inverse=True)[1] + 1
@@ -120,16 +124,16 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int, held: int = HELD) -
     """Positions of text in the order of their suffixes by the first `depth` symbols at least."""
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, PLACE)
     small = smaller(text)
-    starts = np.flatnonzero(small & np.r_[False, ~small[:-1]])
+    starts = np.flatnonzero(small & np.r_[False, ~small[:-1]]).astype(PLACE)
     first = Queues(symbols, held)
     if len(starts):
         rank = named(text, small, starts, depth)
         lms = starts[np.argsort(rank, kind="stable")]
         first.deal(text[lms], lms)
     larger, done = Queues(symbols, held), Queues(symbols, held)
-    last = np.array([n - 1])
+    last = np.array([n - 1], PLACE)
     larger.deal(text[last], last)  # the empty suffix comes first and induces the last one
 
     def before(run: np.ndarray, want: bool) -> np.ndarray:

@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, keyed_runs, mix, prefix_hash, slices, stored, text_buffers, texts_of
+from .common import byte_values, frugal, keyed_runs, mix, prefix_hash, slices, stored, text_buffers, texts_of
 from .induced import suffix_order
 
 #: Bytes of a repeated string and of an anchor; bytes of contexts in a shard.
 LENGTH, K, SHARD = 400, 160, 3 << 20
 #: Runs of one anchor beyond which they are split, and the tasks that the rows of one anchor are dealt to.
 HOT, SALTS = 5000, 8
+#: Bytes that are hashed at once, and those of the rows that a worker gathers before it passes them on.
+PIECE, PASSED = 1 << 19, 4 << 20
 W = LENGTH - K + 1
 VALUES = byte_values(23)
 
@@ -42,14 +44,14 @@ def windowed_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """(row, first start, last start, place of the anchor, anchor) of every run in some rows; places are relative to the row."""
+    """(row, first start, last start, place of the anchor, anchor) of every run in rows of PIECE bytes at most; places are relative to the row."""
     data, rel = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
     if len(data) < LENGTH:
         return None
     p, q = prefix_hash(data, VALUES)
     h = mix((p[K:] - p[:-K]) * q[: len(p) - K])
     n = len(h)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PIECE.bit_length())  # the same everywhere, so equal windows choose by equal keys
     key = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
     at = (windowed_least(key, W) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row = np.searchsorted(rel, np.arange(len(at)), side="right") - 1
@@ -64,13 +66,27 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | No
     return r, start[head] - rel[r], start[tail] - rel[r], a[head] - rel[r], h[a[head]].view(np.int64)
 
 
+def runs_in_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Runs of some rows, or of one row of any length: its windows are taken in pieces, and a run that two pieces share is one."""
+    begin, end = int(offsets[0]), int(offsets[-1])
+    if end - begin <= PIECE:
+        return runs_of(raw, offsets)
+    found = []
+    for at in range(begin, end - LENGTH + 1, PIECE - LENGTH + 1):
+        r, *places, anchor = runs_of(raw, np.array([at, min(end, at + PIECE)]))
+        found.append((r, *(x + (at - begin) for x in places), anchor))
+    r, lo, hi, place, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.r_[True, place[1:] != place[:-1]]
+    return r[new], lo[new], hi[np.r_[new[1:], True]], place[new], anchor[new]
+
+
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "h1", "lo", "hi", "at", "anchor", "twice"]
     for batch in batches:
         ids, h1 = batch.column("doc_id").to_numpy(), batch.column("h1").to_numpy()
         raw, offsets = text_buffers(batch.column("text"))
-        for s, e in slices(offsets, 1 << 21):
-            found = runs_of(raw, offsets[s : e + 1])
+        for s, e in slices(offsets, PIECE):
+            found = runs_in_pieces(raw, offsets[s : e + 1])
             if found is None:
                 continue
             r, lo, hi, place, anchor = found
@@ -108,7 +124,8 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         size = 0
         kinds = [pa.int64()] * 8 + [pa.binary()]
-        for k, (doc, h1, copies, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h1", "copies", "runs")), strict=True)):
+        for k in range(batch.num_rows):
+            doc, h1, copies, runs = (batch.column(c)[k].as_py() for c in ("doc_id", "h1", "copies", "runs"))
             text = raw[offsets[k] : offsets[k + 1]].tobytes()
             for first, last, anchor in (part for run in runs for part in split(run, text)):
                 own = text[first : last + LENGTH]
@@ -116,10 +133,10 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c1, c2 = np.frombuffer(d, np.int64).tolist()
                 new = d not in seen
                 seen.add(d)
-                size += len(own) if new else 64
+                size += 400 + len(own) * new  # a row's numbers are objects here
                 for col, v in zip(cols, (c1, c2, anchor, doc, h1, first, last - first + 1, copies, own if new else None), strict=True):
                     col.append(v)
-                if size > 16 << 20:
+                if size > PASSED:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
                     cols, size = [[] for _ in names], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
@@ -127,19 +144,27 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_starts(parts: list[bytes], starts: np.ndarray, copies: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each context the ranges (first, last) of its starts whose LENGTH bytes start at another counted place too."""
-    size = np.array([len(p) + 1 for p in parts])
-    begin = np.r_[0, np.cumsum(size)]
+    begin = np.r_[0, np.cumsum([len(p) + 1 for p in parts])]
     text = np.zeros(int(begin[-1]), np.uint16)
     for p, b in zip(parts, begin[:-1], strict=True):
         text[b : b + len(p)] = np.frombuffer(p, np.uint8)
         text[b : b + len(p)] += 1
+    step = np.zeros(len(text) + 1, np.int8)
+    step[begin[:-1]], step[begin[:-1] + starts] = 1, -1
+    counted = np.cumsum(step[:-1], dtype=np.int8).view(bool)
     order = suffix_order(text, 257, LENGTH)
+    order = order[counted[order]]
+    at = np.flatnonzero(counted)
+    whole = np.empty(len(at), np.uint64)  # hashes of the counted places, in pieces of whole contexts
+    for s, e in slices(begin, PIECE):
+        p, q = prefix_hash((text[begin[s] : begin[e]] - 1).astype(np.uint8), VALUES)
+        here = slice(*np.searchsorted(at, begin[[s, e]]))
+        x = at[here] - begin[s]
+        whole[here] = (p[x + LENGTH] - p[x]) * q[x]
+    whole = whole[(np.cumsum(counted, dtype=np.int32) - 1)[order]]
+    del text, at
     owner = np.searchsorted(begin, order, side="right") - 1
     inside = order - begin[owner]
-    counted = inside < starts[owner]
-    order, owner, inside = order[counted], owner[counted], inside[counted]
-    p, q = prefix_hash((text - 1).astype(np.uint8), VALUES)
-    whole = (p[order + LENGTH] - p[order]) * q[order]
     new = np.r_[True, whole[1:] != whole[:-1]]
     group = np.cumsum(new) - 1
     weight = np.bincount(group, copies[owner])
@@ -158,7 +183,6 @@ def repeated_starts(parts: list[bytes], starts: np.ndarray, copies: np.ndarray)
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in keyed_runs(batches, "shard"):
-        t = t.combine_chunks()
         key, c1, c2, starts, copies = (t.column(c).to_numpy() for c in ("shard", "c1", "c2", "starts", "copies"))
         cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         for s, e in zip(cut, np.r_[cut[1:], len(key)], strict=True):
@@ -199,7 +223,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     every = d.select("doc_id", "h1", "h2", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     texts = stored(every.filter(F.col("n_bytes") >= LENGTH).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     long = d.filter(F.octet_length("text") >= LENGTH)
-    found = stored(long.select("doc_id", "h1", "text").mapInArrow(anchors, "doc_id bigint, h1 bigint, lo bigint, hi bigint, at bigint, anchor bigint, twice boolean"), "anchors")
+    found = stored(long.select("doc_id", "h1", "text").mapInArrow(frugal(anchors), "doc_id bigint, h1 bigint, lo bigint, hi bigint, at bigint, anchor bigint, twice boolean"), "anchors")
     again = found.groupBy("anchor").agg((F.min("h1") != F.max("h1")).alias("many"), F.max("twice").alias("twice"), (F.count("*") > HOT).alias("hot")).filter("many OR twice")
     # the rows of one anchor are dealt to several tasks; each of them gets the anchor
     again = again.select("anchor", "hot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -209,13 +233,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # a doc_id that comes twice with one text has its runs twice; one of each counts
     meet = meet.withColumn("runs", F.array_distinct("runs"))
     held = stored(long.select("doc_id", "h1", "h2", "text").join(meet, ["doc_id", "h1", "h2"]), "texts-with-runs")
-    member = stored(held.select("doc_id", "h1", "copies", "text", "runs").mapInArrow(contexts, "c1 bigint, c2 bigint, anchor bigint, doc_id bigint, h1 bigint, lo bigint, starts bigint, copies bigint, context binary"), "contexts")
+    member = stored(held.select("doc_id", "h1", "copies", "text", "runs").mapInArrow(frugal(contexts), "c1 bigint, c2 bigint, anchor bigint, doc_id bigint, h1 bigint, lo bigint, starts bigint, copies bigint, context binary"), "contexts")
     distinct = member.groupBy("c1", "c2", "anchor", "starts").agg(F.sum("copies").alias("copies"), F.first("context", ignorenulls=True).alias("context"))
     total = member.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(-(-total // SHARD) or 1)))
-    flags = stored(dealt.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(shards, "c1 bigint, c2 bigint, f bigint, g bigint"), "flags")
+    flags = stored(dealt.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(frugal(shards), "c1 bigint, c2 bigint, f bigint, g bigint"), "flags")
     ranges = member.select("c1", "c2", "doc_id", "h1", "lo").join(flags, ["c1", "c2"]).groupBy("doc_id", "h1").agg(F.collect_list(F.struct((F.col("lo") + F.col("f")).alias("s"), (F.col("lo") + F.col("g")).alias("e"))).alias("ranges"))
-    result = held.filter("copies = 1").select("doc_id", "h1", "h2", "text").join(ranges, ["doc_id", "h1"]).select("h1", "h2", "text", "ranges").mapInArrow(removed, "h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    result = held.filter("copies = 1").select("doc_id", "h1", "h2", "text").join(ranges, ["doc_id", "h1"]).select("h1", "h2", "text", "ranges").mapInArrow(frugal(removed), "h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     joined = every.join(texts.select("h1", "h2", "copies"), ["h1", "h2"], "left").join(result, ["h1", "h2"], "left")
     gone = F.coalesce(F.col("copies") > 1, F.lit(False))
     return joined.select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"), F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"), F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"))

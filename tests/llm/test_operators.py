@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import chosen_path, huffman, induced, pieces, quality_net, repeats, secrets, templates, tiles, token_files, tool_calls, warc
@@ -323,6 +325,38 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert repeats.without_repeats(frame(spark, [])).count() == 0
 
 
+def peak_mb(run, batch):
+    """Most that Python and numpy hold at once while run works off a batch."""
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeats_take_little_memory_whatever_a_batch_holds():
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 123, 6 << 20, dtype=np.uint8).tobytes().decode()
+    assert peak_mb(repeats.anchors, pa.RecordBatch.from_pylist([{"doc_id": 1, "h1": 1, "text": text}])) < 120
+    runs = [{"lo": at, "hi": at + 100, "at": at + 200, "anchor": at, "hot": False} for at in range(0, 500_000, 500)]
+    rows = [{"doc_id": k, "h1": k, "copies": 1, "text": text[k << 17 : (k << 17) + 501_000], "runs": runs} for k in range(40)]
+    assert peak_mb(repeats.contexts, pa.RecordBatch.from_pylist(rows)) < 30
+
+
+def test_runs_in_pieces_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(12)
+    passage = words(rng, 300, 9000)
+    text = words(rng, 1500, 9000) + passage + "ab" * 900 + "z" * 1500 + words(rng, 700, 9000) + passage
+    batch = pa.RecordBatch.from_pylist([{"doc_id": k, "h1": k, "text": x} for k, x in enumerate([text, "", "z" * 400, text[::-1]])])
+    whole = [pa.Table.from_batches(repeats.anchors(iter([batch]))).to_pylist()]
+    for piece in (400, 401, 1024, 5000):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        whole.append(pa.Table.from_batches(repeats.anchors(iter([batch]))).to_pylist())
+    assert all(x == whole[0] for x in whole) and len(whole[0]) > 50
+
+
 def test_suffix_order_with_disk():
     rng = np.random.default_rng(4)
     for k in range(120):
