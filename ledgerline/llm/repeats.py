@@ -6,7 +6,8 @@ contexts of the others meet in shards, equal contexts counted beforehand, and a
 equal a neighbour's are repeated. Texts that are equal as a whole are one text with a count.
 
 An anchor that starts very many runs is split further: equal windows have their anchor at the same place, so its windows are dealt by that
-place, in ranges that double, and each range by the bytes beside the anchor that all of its windows hold.
+place, in ranges that double, and each range by the bytes beside the anchor that all of its windows hold. A part that still has very many
+contexts has its range halved until it has few; at one place all of its windows are equal, so there it is one context.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .induced import suffix_order
 
 #: Bytes of a repeated string and of an anchor; bytes of contexts in a shard.
 LENGTH, K, SHARD = 400, 160, 3 << 20
-#: Runs of one anchor beyond which they are split, and the tasks that the rows of one anchor are dealt to.
+#: Runs of one anchor, or contexts of a part, beyond which they are split, and the tasks that the rows of one anchor are dealt to.
 HOT, SALTS = 5000, 8
 #: Bytes that are hashed at once, and those of the rows that a worker gathers before it passes them on.
 PIECE, PASSED = 1 << 19, 4 << 20
@@ -97,44 +98,49 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[s + r], h1[s + r], lo, hi, place, anchor, twice)], names)
 
 
-def split(run: dict, text: bytes) -> Iterator[tuple[int, int, int]]:
-    """(first start, last start, anchor) of a run, or of the parts of a hot one.
+def part(anchor: int, at: int, lo: int, hi: int, low: int, high: int, text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first start, last start, anchor of the part, low, high) of a run's windows with low..high bytes before the anchor, if it has any.
 
     A window has `j` bytes before its anchor and W - 1 - j behind it. Those with j in low..high all hold the low bytes before and the W - 1 - high
     bytes behind, so equal windows agree there and meet in the same part."""
+    first, last = max(lo, at - high), min(hi, at - low)
+    if first <= last:
+        beside = b"%d:%d:" % (anchor, low) + text[at - low : at] + b":" + text[at + K : at + K + W - 1 - high]
+        yield first, last, xxhash.xxh3_64_intdigest(beside) - (1 << 63), low, high
+
+
+def split(run: dict, text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+    """A run, or the parts of a hot one, as part gives them; a whole run has all places."""
     lo, hi, at = run["lo"], run["hi"], run["at"]
     if not run["hot"]:
-        yield lo, hi, run["anchor"]
+        yield lo, hi, run["anchor"], 0, W - 1
         return
     low, high = 0, 0
     while low < W:
-        first, last = max(lo, at - high), min(hi, at - low)
-        if first <= last:
-            beside = b"%d:%d:" % (run["anchor"], low) + text[at - low : at] + b":" + text[at + K : at + K + W - 1 - high]
-            yield first, last, xxhash.xxh3_64_intdigest(beside) - (1 << 63)
+        yield from part(run["anchor"], at, lo, hi, low, high, text)
         low, high = high + 1, min(2 * high + 1, W - 1)
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, h1, copies, text, runs) -> a row a run: the digest of its context, and the context where this batch has it first."""
-    names = ["c1", "c2", "anchor", "doc_id", "h1", "lo", "starts", "copies", "context"]
+    names = ["c1", "c2", "anchor", "doc_id", "h1", "lo", "starts", "copies", "place", "low", "high", "context"]
     for batch in batches:
         raw, offsets = text_buffers(batch.column("text"))
         cols: list[list] = [[] for _ in names]
         seen: set[bytes] = set()
         size = 0
-        kinds = [pa.int64()] * 8 + [pa.binary()]
+        kinds = [pa.int64()] * 11 + [pa.binary()]
         for k in range(batch.num_rows):
             doc, h1, copies, runs = (batch.column(c)[k].as_py() for c in ("doc_id", "h1", "copies", "runs"))
             text = raw[offsets[k] : offsets[k + 1]].tobytes()
-            for first, last, anchor in (part for run in runs for part in split(run, text)):
+            for (first, last, anchor, low, high), at in ((p, run["at"]) for run in runs for p in split(run, text)):
                 own = text[first : last + LENGTH]
                 d = xxhash.xxh3_128_digest(own)
                 c1, c2 = np.frombuffer(d, np.int64).tolist()
                 new = d not in seen
                 seen.add(d)
                 size += 400 + len(own) * new  # a row's numbers are objects here
-                for col, v in zip(cols, (c1, c2, anchor, doc, h1, first, last - first + 1, copies, own if new else None), strict=True):
+                for col, v in zip(cols, (c1, c2, anchor, doc, h1, first, last - first + 1, copies, at - first, low, high, own if new else None), strict=True):
                     col.append(v)
                 if size > PASSED:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
@@ -142,6 +148,28 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
+def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of parts that have too many -> those of the parts with half the places, with the context (o1, o2) that holds them and where."""
+    names = ["o1", "o2", "off", "c1", "c2", "anchor", "starts", "copies", "place", "low", "high", "context"]
+    kinds = [pa.int64()] * 11 + [pa.binary()]
+    for batch in batches:
+        cols: list[list] = [[] for _ in names]
+        size = 0
+        for k in range(batch.num_rows):
+            o1, o2, anchor, starts, copies, place, low, high, text = (batch.column(c)[k].as_py() for c in ("c1", "c2", "anchor", "starts", "copies", "place", "low", "high", "context"))
+            middle = (low + high) // 2
+            for first, last, new, a, b in (p for ends in ((low, middle), (middle + 1, high)) for p in part(anchor, place, 0, starts - 1, *ends, text)):
+                own = text[first : last + LENGTH]
+                c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(own), np.int64).tolist()
+                size += 400 + len(own)
+                for col, v in zip(cols, (o1, o2, first, c1, c2, new, last - first + 1, copies, place - first, a, b, own), strict=True):
+                    col.append(v)
+            if size > PASSED:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                cols, size = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+
 def repeated_starts(parts: list[bytes], starts: np.ndarray, copies: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each context the ranges (first, last) of its starts whose LENGTH bytes start at another counted place too."""
     begin = np.r_[0, np.cumsum([len(p) + 1 for p in parts])]
@@ -183,6 +211,11 @@ def repeated_starts(parts: list[bytes], starts: np.ndarray, copies: np.ndarray)
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in keyed_runs(batches, "shard"):
+        anchor, copies = t.column("anchor").to_numpy(), t.column("copies").to_numpy()
+        _, of, n = np.unique(anchor, return_inverse=True, return_counts=True)
+        t = t.filter(pa.array((n[of] > 1) | (copies > 1)))  # one context that comes once repeats nothing
+        if not t.num_rows:
+            continue
         key, c1, c2, starts, copies = (t.column(c).to_numpy() for c in ("shard", "c1", "c2", "starts", "copies"))
         cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         for s, e in zip(cut, np.r_[cut[1:], len(key)], strict=True):
@@ -214,6 +247,24 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept_sha256"])
 
 
+def flagged(held: DataFrame) -> DataFrame:
+    """(c1, c2, f, g) of contexts: the ranges of their starts that are repeated. Parts of more than HOT contexts are split until they have fewer."""
+    distinct = held.groupBy("c1", "c2", "anchor", "starts").agg(F.sum("copies").alias("copies"), F.first("context", ignorenulls=True).alias("context"), *(F.first(c).alias(c) for c in ("place", "low", "high")))
+    split_so_far = held.filter(f"high > low AND high - low < {W - 1}").select("anchor", "c1", "c2").distinct()
+    hot = stored(split_so_far.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
+    more = not hot.isEmpty()
+    few = distinct.join(F.broadcast(hot), "anchor", "left_anti") if more else distinct
+    total = held.agg(F.sum(F.octet_length("context"))).first()[0] or 0
+    dealt = few.select("c1", "c2", "anchor", "starts", "copies", "context").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(-(-total // SHARD) or 1)))
+    flags = stored(dealt.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(frugal(shards), "c1 bigint, c2 bigint, f bigint, g bigint"), "flags")
+    if not more:
+        return flags
+    kind = "o1 bigint, o2 bigint, off bigint, c1 bigint, c2 bigint, anchor bigint, starts bigint, copies bigint, place bigint, low bigint, high bigint, context binary"
+    halves = stored(distinct.join(F.broadcast(hot), "anchor").mapInArrow(frugal(finer), kind), "halves")
+    below = flagged(halves).join(halves.select("c1", "c2", "o1", "o2", "off"), ["c1", "c2"])
+    return flags.union(below.select("o1", "o2", F.col("off") + F.col("f"), F.col("off") + F.col("g")))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay).
 
@@ -233,12 +284,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # a doc_id that comes twice with one text has its runs twice; one of each counts
     meet = meet.withColumn("runs", F.array_distinct("runs"))
     held = stored(long.select("doc_id", "h1", "h2", "text").join(meet, ["doc_id", "h1", "h2"]), "texts-with-runs")
-    member = stored(held.select("doc_id", "h1", "copies", "text", "runs").mapInArrow(frugal(contexts), "c1 bigint, c2 bigint, anchor bigint, doc_id bigint, h1 bigint, lo bigint, starts bigint, copies bigint, context binary"), "contexts")
-    distinct = member.groupBy("c1", "c2", "anchor", "starts").agg(F.sum("copies").alias("copies"), F.first("context", ignorenulls=True).alias("context"))
-    total = member.agg(F.sum(F.octet_length("context"))).first()[0] or 0
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(-(-total // SHARD) or 1)))
-    flags = stored(dealt.repartition("shard").sortWithinPartitions("shard", "c1", "c2").mapInArrow(frugal(shards), "c1 bigint, c2 bigint, f bigint, g bigint"), "flags")
-    ranges = member.select("c1", "c2", "doc_id", "h1", "lo").join(flags, ["c1", "c2"]).groupBy("doc_id", "h1").agg(F.collect_list(F.struct((F.col("lo") + F.col("f")).alias("s"), (F.col("lo") + F.col("g")).alias("e"))).alias("ranges"))
+    member = stored(held.select("doc_id", "h1", "copies", "text", "runs").mapInArrow(frugal(contexts), "c1 bigint, c2 bigint, anchor bigint, doc_id bigint, h1 bigint, lo bigint, starts bigint, copies bigint, place bigint, low bigint, high bigint, context binary"), "contexts")
+    ranges = member.select("c1", "c2", "doc_id", "h1", "lo").join(flagged(member), ["c1", "c2"]).groupBy("doc_id", "h1").agg(F.collect_list(F.struct((F.col("lo") + F.col("f")).alias("s"), (F.col("lo") + F.col("g")).alias("e"))).alias("ranges"))
     result = held.filter("copies = 1").select("doc_id", "h1", "h2", "text").join(ranges, ["doc_id", "h1"]).select("h1", "h2", "text", "ranges").mapInArrow(frugal(removed), "h1 bigint, h2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     joined = every.join(texts.select("h1", "h2", "copies"), ["h1", "h2"], "left").join(result, ["h1", "h2"], "left")
     gone = F.coalesce(F.col("copies") > 1, F.lit(False))
