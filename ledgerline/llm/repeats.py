@@ -109,18 +109,30 @@ def part(anchor: int, at: int, lo: int, hi: int, low: int, high: int, text: byte
         yield first, last, xxhash.xxh3_64_intdigest(beside) - (1 << 63), low, high
 
 
-def split(run: dict, text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+def split(lo: int, hi: int, at: int, anchor: int, hot: bool, text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
     """A run, or the parts of a hot one, as part gives them; a whole run has all places."""
-    lo, hi, at = run["lo"], run["hi"], run["at"]
-    if not run["hot"]:
-        yield lo, hi, run["anchor"], 0, W - 1
+    if not hot:
+        yield lo, hi, anchor, 0, W - 1
         return
     low, high = 0, 0
     while low < W:
-        yield from part(run["anchor"], at, lo, hi, low, high, text)
+        yield from part(anchor, at, lo, hi, low, high, text)
         low, high = high + 1, min(2 * high + 1, W - 1)
 
 
+def listed(runs: pa.Array) -> Iterator[Iterator[tuple]]:
+    """For each row its runs (lo, hi, at, anchor, hot), one of each: a doc_id that comes twice with one text has its runs twice."""
+    bounds = runs.offsets.to_numpy()
+    fields = [runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "at", "anchor", "hot")]
+
+    def of(a: int, b: int) -> Iterator[tuple]:
+        own = a + np.unique(fields[0][a:b], return_index=True)[1]
+        for s in range(0, len(own), 1 << 14):
+            yield from zip(*(x[own[s : s + (1 << 14)]].tolist() for x in fields), strict=True)
+
+    return (of(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, h1, copies, text, runs) -> a row a run: the digest of its context, and the context where this batch has it first."""
     names = ["c1", "c2", "anchor", "doc_id", "h1", "lo", "starts", "copies", "place", "low", "high", "context"]
@@ -130,10 +142,9 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         size = 0
         kinds = [pa.int64()] * 11 + [pa.binary()]
-        for k in range(batch.num_rows):
-            doc, h1, copies, runs = (batch.column(c)[k].as_py() for c in ("doc_id", "h1", "copies", "runs"))
+        for k, (doc, h1, copies, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h1", "copies")), listed(batch.column("runs")), strict=True)):
             text = raw[offsets[k] : offsets[k + 1]].tobytes()
-            for (first, last, anchor, low, high), at in ((p, run["at"]) for run in runs for p in split(run, text)):
+            for (first, last, anchor, low, high), at in ((p, run[2]) for run in runs for p in split(*run, text)):
                 own = text[first : last + LENGTH]
                 d = xxhash.xxh3_128_digest(own)
                 c1, c2 = np.frombuffer(d, np.int64).tolist()
@@ -281,8 +292,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     met = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int")).join(again, ["anchor", "salt"])
     meet = met.groupBy("doc_id", "h1").agg(F.collect_list(F.struct("lo", "hi", "at", "anchor", "hot")).alias("runs"))
     meet = meet.join(texts.select(F.col("rep").alias("doc_id"), "h1", "h2", "copies"), ["doc_id", "h1"])
-    # a doc_id that comes twice with one text has its runs twice; one of each counts
-    meet = meet.withColumn("runs", F.array_distinct("runs"))
     held = stored(long.select("doc_id", "h1", "h2", "text").join(meet, ["doc_id", "h1", "h2"]), "texts-with-runs")
     member = stored(held.select("doc_id", "h1", "copies", "text", "runs").mapInArrow(frugal(contexts), "c1 bigint, c2 bigint, anchor bigint, doc_id bigint, h1 bigint, lo bigint, starts bigint, copies bigint, place bigint, low bigint, high bigint, context binary"), "contexts")
     ranges = member.select("c1", "c2", "doc_id", "h1", "lo").join(flagged(member), ["c1", "c2"]).groupBy("doc_id", "h1").agg(F.collect_list(F.struct((F.col("lo") + F.col("f")).alias("s"), (F.col("lo") + F.col("g")).alias("e"))).alias("ranges"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -353,6 +354,14 @@ def test_repeats_split_parts_until_they_are_small(spark, monkeypatch, tmp_path):
     assert 1 < max(int(x.name.split("-")[0]) for x in tmp_path.iterdir()) <= 20
 
 
+def test_repeats_of_a_long_run_of_one_byte(spark):
+    rows = [(1, "z" * 100_000), (2, "z" * 399 + "y"), (2, "z" * 399 + "y"), (3, "ab" * 30_000 + "c" * 399)]
+    began = time.monotonic()
+    got = {tuple(r)[:4] for r in repeats.without_repeats(frame(spark, rows)).collect()}
+    assert got == {(1, 100_000, 100_000, 1), (2, 400, 400, 1), (3, 60_399, 60_000, 1)}
+    assert time.monotonic() - began < 40  # each of 100,000 starts is a run of its own; it took 98 s when all pairs of them were compared
+
+
 def peak_mb(run, batch):
     """Most that Python and numpy hold at once while run works off a batch."""
     tracemalloc.start()
