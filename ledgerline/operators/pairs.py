@@ -7,10 +7,13 @@ representatives of distinct texts, so that no group is expanded into all of its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, has_negation, masked, normalize, numeral, stripped, tokens
+from . import substrings
 
 
 def _sides(hits: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
@@ -124,31 +127,11 @@ def numeric_classes(hits: DataFrame) -> DataFrame:
     return d.join(g, ["rest", "place"]).select("claim_key", "place", "first", "n")
 
 
-def _spans(norm: Column, width: int) -> Column:
-    """Distinct windows of characters, spaces included."""
-    spans = [F.slice(F.split(norm, ""), k + 1, F.length(norm) - (width - 1)) for k in range(width)]
-    return F.array_distinct(F.transform(F.arrays_zip(*[s.alias(f"c{k}") for k, s in enumerate(spans)]), lambda z: F.concat(*[z[f"c{k}"] for k in range(width)])))
+def contained_classes(hits: DataFrame) -> DataFrame:
+    """(from_claim, to_claim): the shorter of two distinct normalised texts, by bytes, and one that it lies in, each by its least key."""
+    return contained(hits.select(F.col("claim_key").alias("doc_id"), F.lit(0).alias("pos"), "text"), lambda narrow: narrow.withColumn("claim_key", F.col("doc_id")))
 
 
-def contained_classes(hits: DataFrame) -> DataFrame:
-    """(from_claim, to_claim): the shorter of two distinct normalised texts, by bytes, and one that it lies in, each by its least key.
-
-    They meet on the shorter one's rarest gram. A text without grams has only tokens of up to three characters: it meets by windows of up to four characters across its
-    spaces, which any text around it has too."""
-    d = hits.withColumn("norm", normalize(F.col("text"))).groupBy("norm").agg(F.min("claim_key").alias("key")).withColumn("size", F.octet_length("norm")).filter("norm <> ''")
-    gram = grams(F.col("norm"))
-
-    def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        """a and b: (norm, key, size, gram)"""
-        df = b.groupBy("gram").agg(F.count("*").alias("df"))
-        rare = a.join(df, "gram").groupBy("key").agg(F.min(F.struct("df", "gram", "norm", "size")).alias("r")).select(F.col("key").alias("from_claim"), "r.gram", F.col("r.norm").alias("a_norm"), F.col("r.size").alias("a_size"))
-        return rare.join(b, "gram").filter((F.col("size") > F.col("a_size")) & F.contains("norm", F.col("a_norm"))).select("from_claim", F.col("key").alias("to_claim"))
-
-    every = d.select("norm", "key", "size", F.explode(gram).alias("gram"))
-    bare = d.filter(F.size(gram) == 0).withColumn("width", F.least(F.length("norm"), F.lit(4)))
-    out = met(every, every)
-    for (width,) in bare.select("width").distinct().collect():  # 1 to 4
-        part = bare.filter(F.col("width") == width).select("norm", "key", "size", F.explode(_spans(F.col("norm"), width)).alias("gram"))
-        near = d.filter(F.length("norm") >= width).select("norm", "key", "size", F.explode(_spans(F.col("norm"), width)).alias("gram"))
-        out = out.union(met(part, near.join(part.select("gram").distinct(), "gram", "left_semi")))
-    return out
+def contained(lines: DataFrame, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As contained_classes, of lines (doc_id, pos, text) whose claim_key is added to narrow rows, so that no text moves for it."""
+    return substrings.contained(lines.select("doc_id", "pos", normalize(F.col("text")).alias("norm")).filter("norm <> ''"), keyed)

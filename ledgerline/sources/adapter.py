@@ -45,12 +45,19 @@ def running_before(narrow: DataFrame, key: str, n: str) -> DataFrame:
     return ranged.withColumn("_inner", inner).join(ahead, "_part").withColumn("before", F.col("_ahead") + F.col("_inner")).drop("_part", "_inner", "_ahead")
 
 
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, lines): the lines that are not blank."""
+    return docs.select("doc_id", F.filter(F.split("text", "\n"), lambda x: ~blank(x)).alias("lines"))
+
+
+def first_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, before): the key of each document's first claim."""
+    return running_before(lines(docs).select("doc_id", F.size("lines").alias("n")), "doc_id", "n").select("doc_id", "before")
+
+
 def claims(docs: DataFrame) -> DataFrame:
     """(claim_key, doc_id, pos, text, status): a claim for every line that is not blank."""
-    lines = F.filter(F.split("text", "\n"), lambda x: ~blank(x))
-    own = docs.select("doc_id", lines.alias("lines"))
-    first = running_before(own.select("doc_id", F.size("lines").alias("n")), "doc_id", "n").select("doc_id", "before")
-    c = own.join(first.hint("merge"), "doc_id").select("doc_id", "before", F.posexplode("lines").alias("pos", "text"))
+    c = lines(docs).join(first_keys(docs).hint("merge"), "doc_id").select("doc_id", "before", F.posexplode("lines").alias("pos", "text"))
     key = (F.col("before") + F.col("pos")).cast("bigint")
     status = F.when(key % 10 == 0, "rejected").when((key % 10).between(1, 3), "active").otherwise("staged")
     return c.select(key.alias("claim_key"), "doc_id", "pos", "text", status.alias("status"))
